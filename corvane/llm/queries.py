@@ -4,13 +4,23 @@ from __future__ import annotations
 
 from corvane.session import table
 
+from .packing import best_fit_packing
+from .secrets import scan_secrets
 from .simhash import near_duplicates
 
 
+def op7_secrets(spark, sf_dir):
+    return scan_secrets(table(spark, sf_dir, "documents"), example_owners=3)
+
+
 def op8_simhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), radius=2)
 
 
-QUERIES = {"op8_simhash": op8_simhash}
+def op10_packing(spark, sf_dir):
+    return best_fit_packing(table(spark, sf_dir, "documents"), capacity=1024, end_id=2)
+
+
+QUERIES = {"op7_secrets": op7_secrets, "op8_simhash": op8_simhash, "op10_packing": op10_packing}
 
 ORACLES: dict[str, str] = {}

@@ -16,6 +16,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,10 +58,10 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        prints = np.array([fingerprint(t if isinstance(t, str) else None) for t in pdf["text"]], np.uint64)
-        yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "fp": prints.view(np.int64)})
+def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        prints = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
 
 
 class BitPlanes:
@@ -209,7 +210,7 @@ def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
     """
     common.prepare(docs.sparkSession)
     prints, _ = common.staged(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_fingerprints, "doc_id long, fp long"), "prints"
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints, "doc_id long, fp long"), "prints"
     )
     classes, classes_path = common.staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     links, links_path = common.staged(fingerprint_links(classes.select("fp"), radius), "links")
