@@ -2,11 +2,39 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from corvane.session import table
 
+from .common import residue
+from .langid import fit_language_model, identify_language
 from .packing import best_fit_packing
+from .quality import fit_neighbour_vote, score_texts
 from .secrets import scan_secrets
 from .simhash import near_duplicates
+from .toxicity import fit_toxicity
+
+
+def op3_quality(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = residue("doc_id", 3) == 1
+    model = fit_neighbour_vote(docs, labels, ~held_out, column="quality")
+    return score_texts(docs.select("doc_id", held_out.alias("held_out"), "text"), model, threshold=0.5)
+
+
+def op4_toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = residue("doc_id", 3) == 1
+    model = fit_toxicity(docs, labels, ~held_out, column="toxic")
+    return score_texts(docs.select("doc_id", held_out.alias("held_out"), "text"), model, threshold=0.7, prior=0.0)
+
+
+def op5_langid(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = residue("doc_id", 5) == 0
+    model = fit_language_model(docs, ~held_out)
+    found = identify_language(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+    return found.select("doc_id", "held_out", "lang_pred", F.col("score"))
 
 
 def op7_secrets(spark, sf_dir):
@@ -21,6 +49,8 @@ def op10_packing(spark, sf_dir):
     return best_fit_packing(table(spark, sf_dir, "documents"), capacity=1024, end_id=2)
 
 
-QUERIES = {"op7_secrets": op7_secrets, "op8_simhash": op8_simhash, "op10_packing": op10_packing}
+QUERIES = {
+    "op3_quality": op3_quality, "op4_toxicity": op4_toxicity, "op5_langid": op5_langid, "op7_secrets": op7_secrets, "op8_simhash": op8_simhash, "op10_packing": op10_packing,
+}
 
 ORACLES: dict[str, str] = {}
