@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corvane.session import table
 
 from .common import residue
+from .decontaminate import contaminated
 from .langid import fit_language_model, identify_language
 from .packing import best_fit_packing
 from .quality import fit_neighbour_vote, score_texts
@@ -37,6 +38,10 @@ def op5_langid(spark, sf_dir):
     return found.select("doc_id", "held_out", "lang_pred", F.col("score"))
 
 
+def op6_decontaminate(spark, sf_dir):
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), least=5, threshold=0.8)
+
+
 def op7_secrets(spark, sf_dir):
     return scan_secrets(table(spark, sf_dir, "documents"), example_owners=3)
 
@@ -50,7 +55,8 @@ def op10_packing(spark, sf_dir):
 
 
 QUERIES = {
-    "op3_quality": op3_quality, "op4_toxicity": op4_toxicity, "op5_langid": op5_langid, "op7_secrets": op7_secrets, "op8_simhash": op8_simhash, "op10_packing": op10_packing,
+    "op3_quality": op3_quality, "op4_toxicity": op4_toxicity, "op5_langid": op5_langid, "op6_decontaminate": op6_decontaminate,
+    "op7_secrets": op7_secrets, "op8_simhash": op8_simhash, "op10_packing": op10_packing,
 }
 
 ORACLES: dict[str, str] = {}

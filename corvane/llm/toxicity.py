@@ -117,7 +117,7 @@ def _featured(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[pa.Re
 
 def fit_toxicity(
     docs: DataFrame, labels: DataFrame, learn_from, column: str = "toxic", rows: int = 5000, longest: int = 4000,
-    smoothing: float = 1.0, penalty: float = 1e-5, steps: int = 60, least: int = 5,
+    smoothing: float = 1.0, penalty: float = 0.01, steps: int = 40, least: int = 5,
 ) -> NgramClassifier | None:
     """Fits on at most ``rows`` labelled texts of at most ``longest`` characters (both bound the driver's memory).
 
