@@ -13,6 +13,7 @@ from .packing import best_fit_packing
 from .quality import fit_neighbour_vote, score_texts
 from .secrets import scan_secrets
 from .simhash import near_duplicates
+from .suffix_dedup import remove_repeats
 from .toxicity import fit_toxicity
 
 
@@ -50,13 +51,17 @@ def op8_simhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), radius=2)
 
 
+def op9_suffix_dedup(spark, sf_dir):
+    return remove_repeats(table(spark, sf_dir, "documents"), length=400)
+
+
 def op10_packing(spark, sf_dir):
     return best_fit_packing(table(spark, sf_dir, "documents"), capacity=1024, end_id=2)
 
 
 QUERIES = {
     "op3_quality": op3_quality, "op4_toxicity": op4_toxicity, "op5_langid": op5_langid, "op6_decontaminate": op6_decontaminate,
-    "op7_secrets": op7_secrets, "op8_simhash": op8_simhash, "op10_packing": op10_packing,
+    "op7_secrets": op7_secrets, "op8_simhash": op8_simhash, "op9_suffix_dedup": op9_suffix_dedup, "op10_packing": op10_packing,
 }
 
 ORACLES: dict[str, str] = {}
