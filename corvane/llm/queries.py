@@ -6,17 +6,31 @@ from pyspark.sql import functions as F
 
 from corvane.session import table
 
-from .common import residue
+from .ann import nearest_neighbours
+from .common import new_path, residue
 from .decontaminate import contaminated
 from .langid import fit_language_model, identify_language
 from .packing import best_fit_packing
 from .quality import fit_neighbour_vote, score_texts
 from .secrets import scan_secrets
+from .sharding import reshard
 from .simhash import near_duplicates
 from .suffix_dedup import remove_repeats
 from .toxicity import fit_toxicity
 
 
+def op1_sharding(spark, sf_dir):
+    """The rows of the newest version, read back through the manifest."""
+    store = reshard(table(spark, sf_dir, "documents"), new_path(spark, "shards"))
+    return store.read().select(
+        "doc_id", "lang", "source", "n_chars", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")
+    )
+
+
+def op2_ann(spark, sf_dir):
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, nearest=5)
+
+
 def op3_quality(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = residue("doc_id", 3) == 1
@@ -60,8 +74,14 @@ def op10_packing(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_sharding": op1_sharding, "op2_ann": op2_ann,
     "op3_quality": op3_quality, "op4_toxicity": op4_toxicity, "op5_langid": op5_langid, "op6_decontaminate": op6_decontaminate,
     "op7_secrets": op7_secrets, "op8_simhash": op8_simhash, "op9_suffix_dedup": op9_suffix_dedup, "op10_packing": op10_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_sharding": """
+        SELECT doc_id, lang, source, n_chars, CAST(strlen(text) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256
+        FROM documents
+    """,
+}
