@@ -76,3 +76,12 @@ def staged(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 def residue(column: str, modulus: int):
     """crc32 of the decimal text of an id, modulo ``modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+#: Bytes up to which a table is broadcast instead of shuffled.
+BROADCAST_BYTES = 48_000_000
+
+
+def small(df: DataFrame, rows: int, bytes_a_row: int) -> DataFrame:
+    """``df`` marked for broadcast if its rows, counted before, are few enough; else as it is, for a shuffle join."""
+    return F.broadcast(df) if rows * bytes_a_row <= BROADCAST_BYTES else df

@@ -25,6 +25,7 @@ OWNED = r"[A-Za-z0-9+/_-]{24,}"
 OWNED_MIX = r"^(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9])"
 
 SPAN = "struct<start: int, end: int, rank: int, value: string>"
+SORTED_SPANS = "array<struct<start: int, rank: int, end: int, value: string>>"
 
 
 def _spans(text: Column, pattern: str, rank: int, value: Column | None = None) -> Column:
@@ -97,7 +98,8 @@ def scan_secrets(docs: DataFrame, example_owners: int = 3, owner: str = "source"
     and an empty text has no spans (the hash is that of the empty text). A null owner is an
     owner of its own. n_live and n_example count a document's spans whose value is carried
     by fewer, and by at least ``example_owners`` owners. An empty table gives no rows.
-    Columns named in ``keep`` are returned too, and ``live`` then holds the spans themselves.
+    Columns named in ``keep`` are returned too, and ``live`` then holds the spans of live-looking
+    credentials in order (null where there are none).
     """
     spark = docs.sparkSession
     extra = [c for c in keep or [] if c != "doc_id"]
@@ -111,13 +113,17 @@ def scan_secrets(docs: DataFrame, example_owners: int = 3, owner: str = "source"
     each = each.select("_row", F.col("doc_id").alias("repo"), F.col("_owner").alias("owner"), F.xxhash64(F.col("s.value")).alias("hash"), "s")
     copied = ownership(each).where(F.col("owners") >= example_owners).select("hash", F.lit(True).alias("copied"))
     judged = each.join(copied, "hash", "left").withColumn("copied", F.coalesce("copied", F.lit(False)))
-    by_row = judged.groupBy("_row").agg(
-        F.array_sort(F.collect_list(F.when((F.col("s.rank") < 3) | ~F.col("copied"), F.col("s")))).alias("_all"),
-        F.count_if(~F.col("copied")).alias("n_live"),
-        F.count_if(F.col("copied")).alias("n_example"),
+    by_row, _ = common.staged(
+        judged.groupBy("_row").agg(
+            F.array_sort(F.collect_list(F.when((F.col("s.rank") < 3) | ~F.col("copied"), F.col("s")))).alias("_all"),
+            F.array_sort(F.collect_list(F.when(~F.col("copied"), F.col("s")))).alias("_live"),
+            F.count_if(F.col("copied")).alias("n_example"),
+        ),
+        "judged",
     )
-    out = scanned.join(by_row, "_row", "left")
-    spans = F.coalesce(F.col("_all"), F.lit([]).cast("array<struct<start: int, rank: int, end: int, value: string>>"))
+    n_rows, n_spans = by_row.agg(F.count("*"), F.coalesce(F.sum(F.size("_all") + F.size("_live")), F.lit(0))).first()
+    out = scanned.join(common.small(by_row, n_rows + n_spans, 150), "_row", "left")
+    spans = F.coalesce(F.col("_all"), F.lit([]).cast(SORTED_SPANS))
 
     def count(rank: int) -> Column:
         return F.size(F.filter(spans, lambda s: s["rank"] == rank)).cast("long")
@@ -125,6 +131,20 @@ def scan_secrets(docs: DataFrame, example_owners: int = 3, owner: str = "source"
     return out.select(
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.sha2(_joined(F.col("_base")).cast("binary"), 256).alias("base_sha256"), _joined(spans).alias("spans"), count(3).alias("n_owned"),
-        F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_example", F.lit(0)).alias("n_example"),
-        *([spans.alias("found")] if extra else []), *[F.col(f"_keep_{c}").alias(c) for c in extra],
+        F.size(F.coalesce("_live", F.array())).cast("long").alias("n_live"), F.coalesce("n_example", F.lit(0)).alias("n_example"),
+        *([F.col("_live").alias("live")] if extra else []), *[F.col(f"_keep_{c}").alias(c) for c in extra],
     )
+
+
+def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
+    """``text`` with each of the sorted spans replaced by a mark; spans that overlap share one."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(state: Column, s: Column) -> Column:
+        fresh = F.concat(state["out"], F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.lit(mark))
+        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(s["start"] >= state["at"], fresh).otherwise(state["out"]).alias("out"))
+
+    def finish(state: Column) -> Column:
+        return F.concat(state["out"], F.substring(text, state["at"] + 1, F.length(text)))
+
+    return F.when(spans.isNull(), text).otherwise(F.aggregate(F.coalesce(spans, F.array().cast(SORTED_SPANS)), start, step, finish))

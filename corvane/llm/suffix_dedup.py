@@ -41,8 +41,6 @@ SHARD_BYTES = 4_000_000
 HOT_CLASSES = 1000
 #: Starts in a part of a divided window.
 PART_STARTS = 32
-#: Bytes up to which a table is broadcast instead of shuffled.
-BROADCAST_BYTES = 48_000_000
 
 
 class Anchors:
@@ -244,11 +242,6 @@ def _cut_rows(batches: Iterator[pa.RecordBatch], length: int, keep_text: bool) -
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=names)
 
 
-def _small(df: DataFrame, rows: int, bytes_a_row: int) -> DataFrame:
-    """``df`` marked for broadcast if its rows, counted before, are few enough; else as it is, for a shuffle join."""
-    return F.broadcast(df) if rows * bytes_a_row <= BROADCAST_BYTES else df
-
-
 def remove_repeats(docs: DataFrame, length: int = 400, shard_bytes: int = SHARD_BYTES, hot_classes: int = HOT_CLASSES, keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and ``kept``, the bytes that stay) for each row of docs(doc_id, text).
 
@@ -262,7 +255,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, shard_bytes: int = SHARD_
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     anchors, anchors_path = common.staged(texts.mapInArrow(lambda it: _anchor_rows(it, length), ANCHOR), "anchors")
     twice, twice_path = common.staged(anchors.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "grams")
-    found, found_path = common.staged(anchors.join(_small(twice, twice.count(), 40), "gram", "left_semi"), "windows")
+    found, found_path = common.staged(anchors.join(common.small(twice, twice.count(), 40), "gram", "left_semi"), "windows")
     common.drop_path(spark, anchors_path)
     common.drop_path(spark, twice_path)
 
@@ -278,7 +271,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, shard_bytes: int = SHARD_
     n_windows, n_bytes = compared.agg(F.count("*"), F.coalesce(F.sum(F.col("w.starts") + length), F.lit(0))).first()
     wanted = compared.groupBy("doc_id", "text_hash").agg(F.collect_list("w").alias("wanted"))
     keyed = texts.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "text_hash", "text")
-    with_text = keyed.join(_small(wanted, n_windows, 60), ["doc_id", "text_hash"]).select("wanted", "text")
+    with_text = keyed.join(common.small(wanted, n_windows, 60), ["doc_id", "text_hash"]).select("wanted", "text")
     windows = with_text.mapInArrow(lambda it: _window_rows(it, length), "part long, gram long, content long, begin int, starts int, bytes binary")
     shards = max(spark.sparkContext.defaultParallelism, -(-n_bytes // shard_bytes))
     compared_starts = (
@@ -287,7 +280,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, shard_bytes: int = SHARD_
     )
     marks, marks_path = common.staged(compared_starts.unionByName(whole), "marks")
 
-    hits = found.join(_small(marks, marks.count(), 60), ["gram", "content"])
+    hits = found.join(common.small(marks, marks.count(), 60), ["gram", "content"])
     runs = hits.select(
         F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "text_hash",
         F.struct((F.col("first") + F.col("begin")).alias("begin"), (F.col("first") + F.col("end")).alias("end")).alias("run"),
@@ -297,7 +290,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, shard_bytes: int = SHARD_
         common.drop_path(spark, path)
     size = runs.agg(F.count("*"), F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()
     keys = (F.coalesce(texts["doc_id"], F.lit(-1)) == runs["doc_id"]) & (texts["text_hash"] == runs["text_hash"])
-    joined = texts.join(_small(runs, size[0] * 5 + size[1], 16), keys, "left").select(texts["doc_id"], texts["text"], runs["runs"])
+    joined = texts.join(common.small(runs, size[0] * 5 + size[1], 16), keys, "left").select(texts["doc_id"], texts["text"], runs["runs"])
     out = joined.mapInArrow(lambda it: _cut_rows(it, length, keep_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out if keep_text else out.drop("kept")
 
