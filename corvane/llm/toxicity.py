@@ -71,27 +71,32 @@ class NgramClassifier:
 
 def fit_weights(rows: list[np.ndarray], labels: np.ndarray, smoothing: float, penalty: float, steps: int, least: int) -> NgramClassifier:
     """Logistic regression on presence times log-count ratio; n-grams in under ``least`` texts get no weight."""
-    columns = np.concatenate(rows) if rows else np.empty(0, np.int32)
-    size = 1 << BITS
-    lengths = np.array([len(r) for r in rows])
-    owner = np.repeat(np.arange(len(rows)), lengths)
-    positive = np.bincount(columns[labels[owner] == 1], minlength=size).astype(np.float64)
-    negative = np.bincount(columns[labels[owner] == 0], minlength=size).astype(np.float64)
+    size, n = 1 << BITS, len(rows)
+    positive, negative = np.zeros(size), np.zeros(size)
+    for row, label in zip(rows, labels.tolist(), strict=True):  # the n-grams of a text are distinct
+        (positive if label else negative)[row] += 1
     known = positive + negative >= least
     n_pos, n_neg = max(1, (labels == 1).sum()), max(1, (labels == 0).sum())
     ratio = np.log((positive + smoothing) / (n_pos + 2 * smoothing)) - np.log((negative + smoothing) / (n_neg + 2 * smoothing))
-    ratio = np.where(known, ratio, 0.0).astype(np.float32)
-    used = known[columns]
-    columns, owner = columns[used], owner[used]
-    kept, columns = np.unique(columns, return_inverse=True)
-    scale, n = ratio[kept], len(rows)
+    kept = np.flatnonzero(known)
+    number = np.cumsum(known, dtype=np.int32) - 1  # of each known column
+    scale = ratio[kept].astype(np.float32)
+    parts = [number[row[known[row]]] for row in rows]
+    edges = np.concatenate(([0], np.cumsum([len(x) for x in parts]))).astype(np.int64)
+    owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(edges))
+    columns = np.concatenate(parts) if parts else np.empty(0, np.int32)
+    del parts
     values = scale[columns]
     weights, bias = np.zeros(len(kept)), float(np.log(n_pos / n_neg))
     first, second, moment = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1), 0
     for step in range(steps):
-        margin = np.bincount(owner, weights=values * weights[columns], minlength=n) + bias
-        error = 1 / (1 + np.exp(-np.clip(margin, -40, 40))) - labels
-        gradient = np.bincount(columns, weights=values * error[owner], minlength=len(kept)) / n + penalty * weights
+        gradient, error = penalty * weights, np.empty(n)
+        for at in range(0, n, 500):  # few texts at a time keep the temporaries small
+            low, high, stop = edges[at], edges[min(n, at + 500)], min(n, at + 500)
+            own, column, value = owner[low:high] - at, columns[low:high], values[low:high]
+            margin = np.bincount(own, weights=value * weights[column], minlength=stop - at) + bias
+            error[at:stop] = 1 / (1 + np.exp(-np.clip(margin, -40, 40))) - labels[at:stop]
+            gradient += np.bincount(column, weights=value * error[at:stop][own], minlength=len(kept)) / n
         gradient = np.append(gradient, error.mean())
         first += 0.1 * (gradient - first)
         second += 0.01 * (gradient**2 - second)
@@ -116,7 +121,7 @@ def _featured(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[pa.Re
 
 
 def fit_toxicity(
-    docs: DataFrame, labels: DataFrame, learn_from, column: str = "toxic", rows: int = 5000, longest: int = 4000,
+    docs: DataFrame, labels: DataFrame, learn_from, column: str = "toxic", rows: int = 4000, longest: int = 3000,
     smoothing: float = 1.0, penalty: float = 0.01, steps: int = 40, least: int = 5,
 ) -> NgramClassifier | None:
     """Fits on at most ``rows`` labelled texts of at most ``longest`` characters (both bound the driver's memory).
