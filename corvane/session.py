@@ -16,6 +16,7 @@ def build_session(app: str = "corvane", cores: str | int = "*", partitions: int
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("CORVANE_DRIVER_MEMORY", "6g"))
         .getOrCreate()
     )
