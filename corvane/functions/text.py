@@ -32,14 +32,21 @@ def adjacent_pairs(characters: Column) -> Column:
 
 
 def terms(text: Column) -> Column:
-    """Index terms in order: words folded; a run of Han characters gives its characters, then its adjacent pairs."""
+    """Index terms in order: words folded; a run of Han characters gives its characters, then its adjacent pairs.
+
+    Texts without Han characters, most of all plain ASCII ones, are folded whole and cut by
+    one expression; only the others go word by word. (One capital letter grows when it is
+    lowered, so texts with it go word by word as well.)
+    """
     words = F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))
 
     def expand(word: Column) -> Column:
         characters = F.split(word, "")
         return F.when(word.rlike(HAN), F.concat(characters, adjacent_pairs(characters))).otherwise(F.array(fold(word)))
 
-    return F.flatten(F.transform(words, expand))
+    plain = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+    folded = F.regexp_extract_all(fold(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return F.when(~text.rlike(r"[^\x00-\x7F]"), plain).when(~text.rlike(rf"[{HAN}\u0130]"), folded).otherwise(F.flatten(F.transform(words, expand)))
 
 
 def search_terms(*parts: Column) -> Column:
