@@ -184,7 +184,7 @@ def _visited(batches: Iterator[pa.RecordBatch], forest: Forest, parts: dict[int,
 def _reranked(rows: pd.DataFrame, queries: pd.DataFrame, nearest: int) -> pd.DataFrame:
     """The best classes of one leaf for each of its queries; one more than asked, as a query's own class may be among them."""
     if not len(rows) or not len(queries):
-        return pd.DataFrame({"query_id": [], "ids": [], "score": []})
+        return pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "ids": pd.Series([], dtype=object), "score": pd.Series([], dtype="float64")})
     x, q = np.stack(rows["embedding"]), np.stack(queries["embedding"])
     ux, uq, k, ids = _normalised(x), _normalised(q), min(nearest + 1, len(rows)), rows["ids"].to_numpy()
     least = np.array([i[0] for i in ids])

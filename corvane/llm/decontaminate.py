@@ -22,6 +22,7 @@ from . import common
 
 WORD = re.compile(r"\w+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Characters of benchmark text that one pass over the documents takes; a larger benchmark takes more passes.
 BLOCK_CHARS = 16_000_000
 RESULT = "doc_id long, item_id long, coverage double, n_tiles int, tiles array<struct<item_start: int, doc_start: int, length: int>>"
@@ -42,10 +43,13 @@ def running_hashes(ids: np.ndarray, length: int) -> np.ndarray:
         for j in range(length):
             out = out * BASE + values[j : j + n]
         return out
-    powers = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(len(ids), BASE, np.uint64))))
-    sums = np.concatenate(([np.uint64(0)], np.cumsum(values * powers[: len(ids)])))
-    # Brought to one exponent, the sum over a run does not depend on where it starts.
-    return (sums[length:] - sums[:-length]) * powers[len(ids) - length :: -1][:n]
+    powers, inverse = np.full(len(ids), BASE, np.uint64), np.full(len(ids), INVERSE, np.uint64)
+    powers[0] = inverse[0] = 1
+    np.multiply.accumulate(powers, out=powers)
+    np.multiply.accumulate(inverse, out=inverse)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * powers)))
+    # Divided by the power of its start, the sum over a run depends on the run alone.
+    return (sums[length:] - sums[:-length]) * inverse[:n]
 
 
 def tile(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int]]:

@@ -149,7 +149,7 @@ def _sampled_windows(batches: Iterator[pa.RecordBatch], per_text: int) -> Iterat
 
 
 def fit_language_model(
-    docs: DataFrame, learn_from, texts_per_language: int = 700, windows_per_text: int = 2, max_languages: int = 200, epochs: int = 6
+    docs: DataFrame, learn_from, texts_per_language: int = 700, windows_per_text: int = 2, max_languages: int = 200, epochs: int = 6, least_steps: int = 300
 ) -> ByteCnn | None:
     """Trains on a bounded sample of docs(doc_id, text, lang) where ``learn_from`` holds and lang is not null.
 
@@ -170,6 +170,7 @@ def fit_language_model(
         return None
     classes = sorted(set(found["lang"]))
     windows = np.frombuffer(b"".join(found["window"]), np.uint8).reshape(-1, WINDOW)
+    epochs = max(epochs, -(-least_steps * 64 // len(windows)))  # few texts are seen more often
     return ByteCnn(classes).fit(windows, np.searchsorted(classes, found["lang"]), epochs)
 
 
