@@ -79,9 +79,44 @@ QUERIES = {
     "op7_secrets": op7_secrets, "op8_simhash": op8_simhash, "op9_suffix_dedup": op9_suffix_dedup, "op10_packing": op10_packing,
 }
 
+def _spans(kind: str, rank: int, pattern: str, value: str) -> str:
+    """Matches of a pattern with their places: the gaps between the matches and the matches' lengths, summed up."""
+    quoted = pattern.replace("'", "''")
+    return f"""SELECT rid, '{kind}' AS kind, {rank} AS rank, m, v,
+            CAST(sum(length(g) + length(m)) OVER (PARTITION BY rid ORDER BY k) AS BIGINT) AS stop, stop - length(m) AS start
+        FROM (SELECT rid, unnest(range(len(ms))) AS k, unnest(ms) AS m, unnest(vs) AS v, unnest(gaps[1:len(ms)]) AS g
+              FROM (SELECT rid, regexp_extract_all(t, '{quoted}') AS ms, {value.format(quoted)} AS vs, string_split_regex(t, '{quoted}') AS gaps FROM docs))"""
+
+
+_WORD = "[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]"
+_ASSIGN = rf"""({_WORD})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+_WHOLE = "regexp_extract_all(t, '{0}')"
+
 ORACLES: dict[str, str] = {
     "op1_sharding": """
         SELECT doc_id, lang, source, n_chars, CAST(strlen(text) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256
         FROM documents
     """,
+    "op7_secrets": f"""
+        WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce(source, '') AS owner FROM documents),
+        base AS (
+            SELECT * FROM ({_spans("assign", 0, _ASSIGN, "regexp_extract_all(t, '{0}', 2)")}) WHERE length(v) >= 12
+            UNION ALL {_spans("access", 1, "AKIA[A-Z0-9]{14,}", _WHOLE)}
+            UNION ALL {_spans("hex", 2, "[0-9a-f]{16,}", _WHOLE)}
+        ),
+        more AS (
+            SELECT * FROM ({_spans("owned", 3, "[A-Za-z0-9+/_-]{24,}", _WHOLE)}) o
+            WHERE regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[0-9]')
+              AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = o.rid AND b.start < o.stop AND o.start < b.stop)
+        ),
+        found AS (SELECT * FROM base UNION ALL SELECT * FROM more),
+        copied AS (SELECT v FROM found JOIN docs USING (rid) GROUP BY v HAVING count(DISTINCT owner) >= 3),
+        judged AS (SELECT *, v IN (SELECT v FROM copied) AS copied FROM found)
+        SELECT doc_id,
+            count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+            sha256(coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (rank < 3), '')) AS base_sha256,
+            coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (rank < 3 OR NOT copied), '') AS spans,
+            count(*) FILTER (rank = 3 AND NOT copied) AS n_owned, count(*) FILTER (kind IS NOT NULL AND NOT copied) AS n_live, count(*) FILTER (copied) AS n_example
+        FROM docs LEFT JOIN judged USING (rid) GROUP BY rid, doc_id
+    """,
 }

@@ -271,7 +271,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, shard_bytes: int = SHARD_
     n_windows, n_bytes = compared.agg(F.count("*"), F.coalesce(F.sum(F.col("w.starts") + length), F.lit(0))).first()
     wanted = compared.groupBy("doc_id", "text_hash").agg(F.collect_list("w").alias("wanted"))
     keyed = texts.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "text_hash", "text")
-    with_text = keyed.join(common.small(wanted, n_windows, 60), ["doc_id", "text_hash"]).select("wanted", "text")
+    with_text = keyed.join(common.small(wanted, n_windows, 130), ["doc_id", "text_hash"]).select("wanted", "text")
     windows = with_text.mapInArrow(lambda it: _window_rows(it, length), "part long, gram long, content long, begin int, starts int, bytes binary")
     shards = max(spark.sparkContext.defaultParallelism, -(-n_bytes // shard_bytes))
     compared_starts = (
@@ -280,7 +280,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, shard_bytes: int = SHARD_
     )
     marks, marks_path = common.staged(compared_starts.unionByName(whole), "marks")
 
-    hits = found.join(common.small(marks, marks.count(), 60), ["gram", "content"])
+    hits = found.join(common.small(marks, marks.count(), 130), ["gram", "content"])
     runs = hits.select(
         F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "text_hash",
         F.struct((F.col("first") + F.col("begin")).alias("begin"), (F.col("first") + F.col("end")).alias("end")).alias("run"),
