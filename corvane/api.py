@@ -15,7 +15,7 @@ from corvane.functions.text import content_hash
 from corvane.operators import fusion, keyword, maintenance
 from corvane.operators.chunking import chunk
 from corvane.operators.embedding import EmbeddingService, Model, embed_chunks
-from corvane.schemas import CHUNK_KEY, CHUNK_VECTORS, CHUNKS, DOCUMENTS, INDEX_VERSION
+from corvane.schemas import CHUNK_KEY, CHUNK_VECTORS, CHUNKS, DOCUMENTS, INDEX_VERSION, INDEXED_CHUNKS
 from corvane.sources import vault as files
 from corvane.sources.snapshots import SnapshotTable
 
@@ -42,7 +42,7 @@ class Vault:
     def __init__(self, spark: SparkSession, root: str, store: str, loader: Callable[[], Model] | None = None):
         self.spark, self.root, self.loader = spark, root, loader
         self.documents = SnapshotTable(spark, f"{store}/documents", DOCUMENTS)
-        self.chunks = SnapshotTable(spark, f"{store}/chunks", CHUNKS)
+        self.chunks = SnapshotTable(spark, f"{store}/chunks", INDEXED_CHUNKS)
         self.vectors = SnapshotTable(spark, f"{store}/vectors", CHUNK_VECTORS)
         self.embeddings = EmbeddingService(loader or (lambda: (_ for _ in ()).throw(RuntimeError("no model"))), enabled=loader is not None)
         self.status = IndexStatus()
@@ -98,7 +98,7 @@ class Vault:
             "relative_path", "file_type", "original_pdf", "mtime", F.unix_millis(F.current_timestamp()).alias("created_at"),
             content_hash(F.col("content")).alias("content_hash"), F.lit(INDEX_VERSION).alias("index_version"), F.lit(False).alias("vectors_complete"),
         )
-        for target, rows in ((self.chunks, chunks), (self.vectors, vectors)):
+        for target, rows in ((self.chunks, keyword.with_terms(chunks)), (self.vectors, vectors)):
             target.write(maintenance.delete_by_key(target.read(), gone).unionByName(rows))
         documents = maintenance.delete_by_key(stored, gone).unionByName(new)
         self.documents.write(maintenance.repair_completeness(documents, self.chunks.read(), self.vectors.read(), INDEX_VERSION))
@@ -129,7 +129,7 @@ class Vault:
                 vector = self.embeddings.embed(words)
             except Exception as error:
                 self.status.last_error = str(error)
-        return fusion.hybrid_search(keyword.with_terms(self.chunks.read()), self.vectors.read(), words, vector, limit)
+        return fusion.hybrid_search(self.chunks.read(), self.vectors.read(), words, vector, limit)
 
     def render(self, query: str, limit: int = 5) -> str:
         """Search results as one text, after what must be known about them."""

@@ -141,7 +141,7 @@ def build() -> dict[str, str]:
             OR list_has_all({_terms('content')}, ['混合', '合检', '检索'])""",
         "tokenize_terms": _with(VAULT) + f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_terms('content')}) AS term FROM vault) GROUP BY ALL",
         "search_text_ngrams": _with(VAULT) + rf"""SELECT relative_path, array_to_string(list_filter({_terms("content || ' ' || relative_path")},
-            lambda t: regexp_matches(t, '\p{{Han}}')), ' ') AS han_terms FROM vault WHERE doc_id % 5 = 0""",
+            lambda t: regexp_matches(t, '\p{{Han}}')), ' ') AS han_terms FROM vault""",
         "chunk_documents": _with(VAULT, LINES) + "SELECT relative_path, heading_path, start_line, end_line, sha256(content) AS content_sha256 FROM chunks WHERE content <> ''",
         "heading_breadcrumbs": _with(VAULT, LINES) + "SELECT heading_path, count(*) AS chunks, min(start_line) AS first_line FROM chunks WHERE content <> '' GROUP BY 1",
         "read_line_range": _with(VAULT, rf"cut AS (SELECT relative_path, string_split_regex(content, '\r?\n') AS l FROM vault)")

@@ -91,7 +91,7 @@ def tokenize_terms(spark, sf_dir):
 
 @query
 def search_text_ngrams(spark, sf_dir):
-    v = views.vault(spark, sf_dir).where(F.col("doc_id") % 5 == 0)
+    v = views.vault(spark, sf_dir)
     return v.select("relative_path", F.array_join(F.filter(text.search_terms(F.col("content"), F.lit(""), F.col("relative_path")), lambda t: t.rlike(text.HAN)), " ").alias("han_terms"))
 
 
@@ -228,7 +228,8 @@ def max_tokens(spark, sf_dir):
 def recall_at_k(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     asked = e.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("own"))
-    scored = e.crossJoin(F.broadcast(asked.limit(1000))).where(F.col("vec_id") != F.col("query_id"))  # a stated query set, at most 1,000
+    few = asked.count() <= 50_000  # a stated query set, of some 300 bytes a row
+    scored = e.crossJoin(F.broadcast(asked) if few else asked).where(F.col("vec_id") != F.col("query_id"))
     scored = scored.select("query_id", "vec_id", F.col("label").cast("string").alias("relative_path"), V.dot(F.col("embedding"), F.col("q")).alias("s"))
     top = scored.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "vec_id"))).where("n <= 3")
     found = fusion.recall_at_k(top, asked.select("query_id", F.col("own").cast("string").alias("relative_path")))

@@ -22,5 +22,7 @@ DOCUMENTS = struct(
 CHUNKS = struct(
     "relative_path string, original_pdf string, heading_path string, start_line int, end_line int, content string"
 )
+#: Chunks as they are stored: with their terms, so that a query cuts no text into words.
+INDEXED_CHUNKS = T.StructType([*CHUNKS.fields, T.StructField("terms", T.ArrayType(T.StringType())), T.StructField("dl", T.IntegerType())])
 CHUNK_VECTORS = struct("relative_path string, start_line int, embedding array<float>")
 CHUNK_KEY = ["relative_path", "start_line"]
