@@ -24,7 +24,7 @@ WORD = re.compile(r"\w+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Characters of benchmark text that one pass over the documents takes; a larger benchmark takes more passes.
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 4_000_000
 RESULT = "doc_id long, item_id long, coverage double, n_tiles int, tiles array<struct<item_start: int, doc_start: int, length: int>>"
 
 

@@ -27,6 +27,8 @@ from .components import connected_components
 SEED = 42
 #: Rows of a key beyond which its rows are divided again by the bits outside the key.
 HOT_KEY_ROWS = 4096
+#: Rows of a key beyond which pivots are compared with the whole key instead of all pairs in turn.
+LARGE_GROUP = 256
 #: Fingerprints compared at once by one task.
 BLOCK_ROWS = 1 << 15
 #: Lanes (bytes of eight pairs) in a block that is abandoned as a whole.
@@ -49,7 +51,10 @@ def shingle_hashes(text: str | None, words: int = 3) -> np.ndarray:
 
 def fingerprint(text: str | None, words: int = 3) -> int:
     """64 bits, each set if it is set in over half of the shingle hashes; 0 without words."""
-    hashes = shingle_hashes(text, words)
+    return majority(shingle_hashes(text, words))
+
+
+def majority(hashes: np.ndarray) -> int:
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 255 * 256):
         bits = np.unpackbits(hashes[at : at + 255 * 256].view(np.uint8), bitorder="little").reshape(-1, 64)
@@ -58,6 +63,19 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def wide_fingerprint(text: str | None, words: int, lanes: int) -> np.ndarray:
+    """``lanes`` fingerprints of a text, each from the shingle hashes mixed anew; zero without words."""
+    hashes = shingle_hashes(text, words)
+    out = np.zeros(lanes, np.uint64)
+    for lane in range(lanes if len(hashes) else 0):
+        mixed = hashes + np.uint64((lane + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))
+        mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        mixed ^= mixed >> np.uint64(31)
+        out[lane] = majority(mixed)
+    return out
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64)
@@ -68,7 +86,7 @@ class BitPlanes:
     """Bit planes of an array of fingerprints, with copies moved by 0 to 7 lanes."""
 
     def __init__(self, prints: np.ndarray):
-        bits = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8), bitorder="little").reshape(-1, 64)
+        bits = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8), bitorder="little").reshape(len(prints), 8 * prints.itemsize * (prints.shape[1] if prints.ndim == 2 else 1))
         varying = np.flatnonzero(bits.min(axis=0) != bits.max(axis=0))
         self.n, self.planes = len(prints), []
         columns = np.ascontiguousarray(bits[:, varying].T)
@@ -79,10 +97,18 @@ class BitPlanes:
 
     def within(self, shift: int, radius: int) -> np.ndarray:
         """The rows i for which row i + shift differs in at most ``radius`` bits."""
-        lanes = (self.n - shift + 7) // 8
-        if lanes <= 0:
+        if self.n <= shift:
             return np.empty(0, np.int64)
-        left, right = self.planes[0], self.planes[shift % 8][:, shift // 8 :]
+        return self._near(self.planes[0], self.planes[shift % 8][:, shift // 8 :], self.n - shift, radius)
+
+    def near(self, row: int, radius: int) -> np.ndarray:
+        """All rows that differ from ``row`` in at most ``radius`` bits, itself included."""
+        own = self.planes[0][:, row // 8] >> (row % 8) & 1
+        return self._near(self.planes[0], np.broadcast_to((own * np.uint8(255))[:, None], self.planes[0].shape), self.n, radius)
+
+    @staticmethod
+    def _near(left: np.ndarray, right: np.ndarray, n: int, radius: int) -> np.ndarray:
+        lanes = (n + 7) // 8
         width = (radius + 1).bit_length()
         bias = (1 << width) - (radius + 1)  # the counters overflow just beyond the radius
         live = None
@@ -108,16 +134,44 @@ class BitPlanes:
         near = np.unpackbits(~over, bitorder="little").reshape(-1, 8)
         lane, bit = np.nonzero(near)
         rows = (lane if live is None else live[lane]) * 8 + bit
-        return rows[rows < self.n - shift]
+        return rows[rows < n]
+
+
+def group_roots(prints: np.ndarray, radius: int) -> np.ndarray:
+    """The first row of each row's component, over all links of one large group.
+
+    A pivot is compared with all rows at once. Rows of the largest component need no pivot:
+    their links inside it change nothing, and all rows outside of it are pivots themselves.
+    """
+    planes, label, done = BitPlanes(prints), np.arange(len(prints)), np.zeros(len(prints), bool)
+    while True:
+        sizes = np.bincount(label, minlength=len(prints))
+        largest = int(sizes.argmax())
+        left = np.flatnonzero(~done & ((label != largest) | (sizes[largest] == 1)))
+        if not len(left):
+            return label
+        pivot = int(left[0])
+        done[pivot] = True
+        joined = np.unique(label[planes.near(pivot, radius)])
+        if len(joined) > 1:
+            member = np.zeros(len(prints), bool)
+            member[joined] = True
+            label[member[label]] = joined[0]
 
 
 def block_links(keys: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (fingerprint, root of its local component) among rows of equal keys; rows sorted by key."""
+    """Links (row, root of its local component) among rows of equal keys; rows sorted by key.
+
+    ``prints``: one number, or a line of numbers, for each row.
+    """
     order, n = np.arange(len(keys)), len(keys)
     starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if n else order
     sizes = np.diff(np.append(starts, n))
     left = np.repeat(starts + sizes, sizes) - order  # rows from here to the end of the group
-    rows, parent = order[np.repeat(sizes > 1, sizes)], np.arange(n)
+    parent = np.arange(n)
+    for start, size in zip(starts[sizes > LARGE_GROUP].tolist(), sizes[sizes > LARGE_GROUP].tolist(), strict=True):
+        parent[start : start + size] = group_roots(prints[start : start + size], radius) + start
+    rows = order[np.repeat((sizes > 1) & (sizes <= LARGE_GROUP), sizes)]
 
     def find(x: int) -> int:
         while parent[x] != x:
@@ -136,27 +190,28 @@ def block_links(keys: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.n
             if a != b:
                 parent[max(a, b)] = min(a, b)
         shift += 1
-        size = np.repeat(sizes, sizes)[rows]
-        going = size > shift
+        going = np.repeat(sizes, sizes)[rows] > shift
         if not going.any():
             break
         if going.mean() < 0.8:
             rows, planes = rows[going], None
     roots = np.array([find(x) for x in range(n)], np.int64) if n else order
     linked = np.flatnonzero(roots != np.arange(n))
-    return prints[linked], prints[roots[linked]]
+    return linked, roots[linked]
 
 
-def _links(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by (k1, k2); whole keys are gathered into blocks of about BLOCK_ROWS rows."""
+def _links(batches: Iterator[pd.DataFrame], radius: int, key: list[str], name: str, lanes: list[str]) -> Iterator[pd.DataFrame]:
+    """Rows come sorted by ``key``; whole keys are gathered into blocks of about BLOCK_ROWS rows."""
     held: list[pd.DataFrame] = []
     rows = 0
 
     def flush(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = np.stack([pdf["k1"].to_numpy(), pdf["k2"].to_numpy()], axis=1)
+        keys = pdf[key].to_numpy()
         ids = np.cumsum(np.concatenate(([0], (keys[1:] != keys[:-1]).any(axis=1)))) if len(pdf) else np.empty(0)
-        a, b = block_links(ids, pdf["fp"].to_numpy().view(np.uint64), radius)
-        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+        prints = np.ascontiguousarray(pdf[lanes].to_numpy()).view(np.uint64)
+        a, b = block_links(ids, prints, radius)
+        names = pdf[name].to_numpy()
+        return pd.DataFrame({"a": names[a], "b": names[b]})
 
     for pdf in batches:
         held.append(pdf)
@@ -164,7 +219,7 @@ def _links(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFram
         if rows < BLOCK_ROWS:
             continue
         block = pd.concat(held, ignore_index=True)
-        last = (block["k1"] == block["k1"].iat[-1]) & (block["k2"] == block["k2"].iat[-1])
+        last = (block[key] == block[key].iloc[-1]).all(axis=1)
         if not last.all():
             yield flush(block[~last])
             block = block[last]
@@ -198,7 +253,7 @@ def fingerprint_links(prints: DataFrame, radius: int = 2) -> DataFrame:
         "k1", F.explode(F.when(F.col("n") > HOT_KEY_ROWS, parts).otherwise(F.array(F.lit(-1).cast("long")))).alias("k2"), "fp"
     )
     sorted_rows = dealt.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "fp")
-    return sorted_rows.mapInPandas(lambda it: _links(it, radius), "a long, b long").distinct()
+    return sorted_rows.mapInPandas(lambda it: _links(it, radius, ["k1", "k2"], "fp", ["fp"]), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
@@ -225,3 +280,73 @@ def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
     common.drop_path(docs.sparkSession, links_path)
     common.drop_path(docs.sparkSession, classes_path)
     return prints.join(all_classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: Fingerprints of 64 bits in a wide one.
+LANES = 4
+#: Share of the wide bits in which texts at the similarity asked for differ, and how far above it still counts.
+SLACK = 1.2
+
+
+def wide_radius(similarity: float) -> int:
+    """Bits of a wide fingerprint in which texts of this similarity (Jaccard) may differ.
+
+    Two sets of this similarity have the cosine 2J / (1 + J), and differ in the share of bits
+    that their angle is of a half turn; SLACK allows for chance.
+    """
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(64 * LANES * share * SLACK)
+
+
+def _wide_rows(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column(1).to_pylist()
+        prints = np.array([wide_fingerprint(t, words, LANES) for t in texts], np.uint64).reshape(-1, LANES).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(prints[:, k]) for k in range(LANES))], names=["doc_id", *(f"f{k}" for k in range(LANES))])
+
+
+def _banded(batches: Iterator[pa.RecordBatch], bits: int, bands: int) -> Iterator[pa.RecordBatch]:
+    """id, f0, ...: a row for each band, keyed by the values of the band's bits."""
+    rng = np.random.default_rng(11)
+    places = np.array([rng.choice(64 * LANES, bits, replace=False) for _ in range(bands)])
+    for batch in batches:
+        prints = np.stack([batch.column(k + 1).to_numpy() for k in range(LANES)], axis=1)
+        one = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8), bitorder="little").reshape(len(prints), 64 * LANES)
+        for band in range(bands):
+            keys = one[:, places[band]].astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64)) | band << 32
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *batch.columns], names=["k1", "id", *(f"f{k}" for k in range(LANES))])
+
+
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, component_id of docs(doc_id, text): components of texts whose shingles are similar.
+
+    Similarity is estimated from 256 bits of SimHash. Texts of at least ``similarity`` meet in
+    some of the bands of sampled bits with a chance of 0.98 or more, and there all links within
+    the radius count. The bands' bits grow with the table, so keys stay small. Null and wordless
+    texts are one class; repeated rows each get their row; an empty table gives no rows.
+    """
+    common.prepare(docs.sparkSession)
+    lanes = [f"f{k}" for k in range(LANES)]
+    kinds = ", ".join(f"{c} long" for c in lanes)
+    prints, _ = common.staged(
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: _wide_rows(it, words), f"doc_id long, {kinds}"), "wide"
+    )
+    classes, classes_path = common.staged(
+        prints.groupBy(*lanes).agg(F.min("doc_id").alias("least")).withColumn("id", F.monotonically_increasing_id()), "classes"
+    )
+    n = max(1, classes.count())
+    bits = min(28, max(12, int(np.ceil(np.log2(n))) - 4))
+    agree = 1 - np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    bands, radius = int(np.ceil(np.log(0.02) / np.log(1 - agree**bits))), wide_radius(similarity)
+    keyed = classes.select("id", *lanes).mapInArrow(lambda it: _banded(it, bits, bands), f"k1 long, id long, {kinds}")
+    links = keyed.repartition("k1").sortWithinPartitions("k1", "id").mapInPandas(lambda it: _links(it, radius, ["k1"], "id", lanes), "a long, b long")
+    links, links_path = common.staged(links.distinct(), "links")
+    roots = connected_components(links)
+    linked = roots.join(classes.select(F.col("id").alias("node"), "least"), "node")
+    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    members = roots.join(least, "root").select(F.col("node").alias("id"), "component_id")
+    found = classes.join(members, "id", "left").select(*lanes, F.coalesce("component_id", "least").alias("component_id"))
+    found, _ = common.staged(found, "components")
+    common.drop_path(docs.sparkSession, links_path)
+    common.drop_path(docs.sparkSession, classes_path)
+    return prints.join(found, lanes).select("doc_id", "component_id")

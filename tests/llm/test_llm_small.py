@@ -316,6 +316,59 @@ def test_bit_slices_find_all_links(monkeypatch):
     assert planes.within(1, 2).tolist() == [i for i in range(len(prints) - 1) if (int(prints[i]) ^ int(prints[i + 1])).bit_count() <= 2]
 
 
+def test_pivots_connect_as_all_pairs_do():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, (4, 2), dtype=np.uint64)
+    rows = []
+    for b in base:
+        for _ in range(60):
+            x = b.copy()
+            for bit in rng.integers(0, 128, 3):
+                x[bit // 64] ^= np.uint64(1 << int(bit % 64))
+            rows.append(x)
+    prints = np.array([*rows, *rng.integers(0, 1 << 63, (50, 2), dtype=np.uint64)])
+    parent = list(range(len(prints)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(prints)):
+        for j in range(i):
+            if sum((int(a) ^ int(b)).bit_count() for a, b in zip(prints[i], prints[j], strict=True)) <= 4 and find(i) != find(j):
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    want = [find(i) for i in range(len(prints))]
+    assert simhash.group_roots(prints, 4).tolist() == want
+    linked, roots = simhash.block_links(np.zeros(len(prints), int), prints, 4)
+    assert all(want[a] == want[b] for a, b in zip(linked, roots, strict=True)) and len(linked) == len(prints) - len(set(want))
+
+
+def test_similar_documents(spark, awkward, empty):
+    rng = random.Random(8)
+    pool = [f"w{i}" for i in range(400)]
+    texts, family = [], []
+    for f in range(60):
+        base = [rng.choice(pool) for _ in range(300)]
+        for c in range(4 if f % 2 else 1):
+            copy = list(base)
+            for _ in range(min(c, 2) * 2):  # four edits leave a similarity of about 0.87
+                copy[rng.randrange(300)] = "edit"
+            texts.append((len(texts), " ".join(copy)))
+            family.append(f)
+    got = {r["doc_id"]: r["component_id"] for r in similar_documents_of(spark, texts).collect()}
+    first = {f: family.index(f) for f in set(family)}
+    assert got == {i: first[f] for i, f in enumerate(family)}
+    odd = simhash.similar_documents(awkward).collect()
+    assert len(odd) == len(AWKWARD) and {r["component_id"] for r in odd if r["doc_id"] in (1, 2)} == {1}
+    assert simhash.similar_documents(empty).count() == 0
+
+
+def similar_documents_of(spark, texts):
+    return simhash.similar_documents(spark.createDataFrame(texts, "doc_id long, text string"))
+
+
 def test_hot_keys_are_divided(spark, monkeypatch):
     monkeypatch.setattr(simhash, "HOT_KEY_ROWS", 3)
     rng = random.Random(0)
