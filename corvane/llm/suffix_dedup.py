@@ -35,8 +35,9 @@ CHUNK_BITS = 20
 CHUNK = (1 << CHUNK_BITS) - 4096
 #: Bytes of a gram, as a share of the length.
 GRAM_SHARE = 0.5
-#: Bytes of windows in a shard; a shard with more (one gram's windows stay together) sorts on disk.
-SHARD_BYTES = 4_000_000
+#: Bytes of windows in a shard, which one sort takes (one gram's windows stay together), and in a task.
+SHARD_BYTES = 1_500_000
+TASK_BYTES = 4_000_000
 #: Classes of a gram beyond which its windows are divided by offset and content.
 HOT_CLASSES = 1000
 #: Starts in a part of a divided window.
@@ -273,9 +274,9 @@ def remove_repeats(docs: DataFrame, length: int = 400, shard_bytes: int = SHARD_
     keyed = texts.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "text_hash", "text")
     with_text = keyed.join(common.small(wanted, n_windows, 130), ["doc_id", "text_hash"]).select("wanted", "text")
     windows = with_text.mapInArrow(lambda it: _window_rows(it, length), "part long, gram long, content long, begin int, starts int, bytes binary")
-    shards = max(spark.sparkContext.defaultParallelism, -(-n_bytes // shard_bytes))
+    tasks = max(spark.sparkContext.defaultParallelism, -(-n_bytes // TASK_BYTES))
     compared_starts = (
-        windows.repartition(shards, "part").sortWithinPartitions("part", "gram", "content", "begin")
+        windows.repartition(tasks, "part").sortWithinPartitions("part", "gram", "content", "begin")
         .mapInArrow(lambda it: _marked_rows(it, length, shard_bytes), "gram long, content long, begin int, end int")
     )
     marks, marks_path = common.staged(compared_starts.unionByName(whole), "marks")
