@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import connected_components
+from .jaccard import set_id, verified_links
 
 SEED = 42
 #: Rows of a key beyond which its rows are divided again by the bits outside the key.
@@ -49,6 +50,11 @@ def shingle_hashes(text: str | None, words: int = 3) -> np.ndarray:
     return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist(), strict=True)], np.uint64)
 
 
+def shingle_set(text: str | None, words: int = 3) -> np.ndarray:
+    """The distinct shingle hashes of a text, sorted."""
+    return np.unique(shingle_hashes(text, words))
+
+
 def fingerprint(text: str | None, words: int = 3) -> int:
     """64 bits, each set if it is set in over half of the shingle hashes; 0 without words."""
     return majority(shingle_hashes(text, words))
@@ -301,8 +307,18 @@ def wide_radius(similarity: float) -> int:
 def _wide_rows(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(1).to_pylist()
+        ids = np.array([set_id(shingle_set(t, words)) for t in texts], np.int64)
         prints = np.array([wide_fingerprint(t, words, LANES) for t in texts], np.uint64).reshape(-1, LANES).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(prints[:, k]) for k in range(LANES))], names=["doc_id", *(f"f{k}" for k in range(LANES))])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids), *(pa.array(prints[:, k]) for k in range(LANES))], names=["doc_id", "id", *(f"f{k}" for k in range(LANES))])
+
+
+def _set_rows(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """root, id, text: the shingles of the rows whose text is the one the id stands for."""
+    for batch in batches:
+        sets = [shingle_set(t, words) for t in batch.column(2).to_pylist()]
+        own = pa.array([set_id(s) == i for s, i in zip(sets, batch.column(1).to_pylist(), strict=True)], pa.bool_())
+        shingles = pa.array([s.tobytes() for s in sets], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), shingles], names=["root", "id", "shingles"]).filter(own)
 
 
 def _banded(batches: Iterator[pa.RecordBatch], bits: int, bands: int) -> Iterator[pa.RecordBatch]:
@@ -320,33 +336,43 @@ def _banded(batches: Iterator[pa.RecordBatch], bits: int, bands: int) -> Iterato
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, component_id of docs(doc_id, text): components of texts whose shingles are similar.
 
-    Similarity is estimated from 256 bits of SimHash. Texts of at least ``similarity`` meet in
-    some of the bands of sampled bits with a chance of 0.98 or more, and there all links within
-    the radius count. The bands' bits grow with the table, so keys stay small. Null and wordless
-    texts are one class; repeated rows each get their row; an empty table gives no rows.
+    Fingerprints of 256 bits give candidates: texts of at least ``similarity`` meet in some of
+    the bands of sampled bits, and are candidates within the radius. A link counts only if the
+    exact Jaccard similarity of both texts' shingle sets is at least ``similarity``. The bands'
+    bits grow with the table, so keys stay small. Null and wordless texts are one class;
+    repeated rows each get their row; an empty table gives no rows.
     """
     common.prepare(docs.sparkSession)
     lanes = [f"f{k}" for k in range(LANES)]
     kinds = ", ".join(f"{c} long" for c in lanes)
-    prints, _ = common.staged(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: _wide_rows(it, words), f"doc_id long, {kinds}"), "wide"
-    )
-    classes, classes_path = common.staged(
-        prints.groupBy(*lanes).agg(F.min("doc_id").alias("least")).withColumn("id", F.monotonically_increasing_id()), "classes"
-    )
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    prints, _ = common.staged(texts.mapInArrow(lambda it: _wide_rows(it, words), f"doc_id long, id long, {kinds}"), "wide")
+    classes, classes_path = common.staged(prints.groupBy("id", *lanes).agg(F.min("doc_id").alias("least")), "classes")
     n = max(1, classes.count())
     bits = min(28, max(12, int(np.ceil(np.log2(n))) - 4))
     agree = 1 - np.arccos(2 * similarity / (1 + similarity)) / np.pi
     bands, radius = int(np.ceil(np.log(0.02) / np.log(1 - agree**bits))), wide_radius(similarity)
     keyed = classes.select("id", *lanes).mapInArrow(lambda it: _banded(it, bits, bands), f"k1 long, id long, {kinds}")
-    links = keyed.repartition("k1").sortWithinPartitions("k1", "id").mapInPandas(lambda it: _links(it, radius, ["k1"], "id", lanes), "a long, b long")
-    links, links_path = common.staged(links.distinct(), "links")
-    roots = connected_components(links)
-    linked = roots.join(classes.select(F.col("id").alias("node"), "least"), "node")
-    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    members = roots.join(least, "root").select(F.col("node").alias("id"), "component_id")
-    found = classes.join(members, "id", "left").select(*lanes, F.coalesce("component_id", "least").alias("component_id"))
-    found, _ = common.staged(found, "components")
-    common.drop_path(docs.sparkSession, links_path)
+    near = keyed.repartition("k1").sortWithinPartitions("k1", "id").mapInPandas(lambda it: _links(it, radius, ["k1"], "id", lanes), "a long, b long")
+    near, near_path = common.staged(near.distinct(), "candidates")
+    found, found_path = common.staged(_components(texts, classes.select("id", "least"), near, words, similarity), "components")
+    common.drop_path(docs.sparkSession, near_path)
     common.drop_path(docs.sparkSession, classes_path)
-    return prints.join(found, lanes).select("doc_id", "component_id")
+    return prints.join(found, "id").select("doc_id", "component_id")
+
+
+def _components(texts: DataFrame, classes: DataFrame, near: DataFrame, words: int, similarity: float) -> DataFrame:
+    """id, component_id of classes(id, least): components of the exact links inside the components of near(a, b)."""
+    spark = texts.sparkSession
+    roots = connected_components(near)
+    members, members_path = common.staged(roots.join(classes.withColumnRenamed("id", "node"), "node"), "members")
+    some = common.small(members.select("root", F.col("node").alias("id"), "least"), members.count(), 60)
+    sets = texts.join(some, F.col("doc_id").eqNullSafe(F.col("least"))).select("root", "id", "text")
+    sets = sets.mapInArrow(lambda it: _set_rows(it, words), "root long, id long, shingles binary")
+    links, links_path = common.staged(verified_links(sets, similarity), "links")
+    common.drop_path(spark, members_path)
+    both = links.unionByName(links.select(F.col("b").alias("a"), "b")).distinct().withColumnRenamed("a", "id")  # b: one set of each component
+    least = both.join(classes, "id").groupBy("b").agg(F.min("least").alias("component_id"))
+    joined, _ = common.staged(both.join(least, "b").select("id", "component_id"), "joined")
+    common.drop_path(spark, links_path)
+    return classes.join(joined, "id", "left").select("id", F.coalesce("component_id", "least").alias("component_id"))
