@@ -37,9 +37,11 @@ def plain_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def plain_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A vector for each chunk; null for each 13th document. The modulus is that of the smallest table."""
-    docs = table(spark, sf_dir, "documents").select(path().alias("relative_path"), "doc_id", (F.col("doc_id") * 7 % 500).alias("vec_id"))
-    found = docs.join(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id")
+    """A vector for each chunk, out of all rows of the table; null for each 13th document."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    n_vec = max(1, vectors.count())
+    docs = table(spark, sf_dir, "documents").select(path().alias("relative_path"), "doc_id", (F.col("doc_id") * 7 % n_vec).alias("vec_id"))
+    found = docs.join(vectors, "vec_id")
     vector = F.when(F.col("doc_id") % 13 != 0, F.col("embedding"))
     return found.select("doc_id", "relative_path", F.lit(1).alias("start_line"), vector.alias("embedding"))
 
