@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import connected_components
-from .jaccard import set_id, verified_links
+from .jaccard import candidate_links, set_id, verified_links
 
 SEED = 42
 #: Rows of a key beyond which its rows are divided again by the bits outside the key.
@@ -69,19 +69,6 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def wide_fingerprint(text: str | None, words: int, lanes: int) -> np.ndarray:
-    """``lanes`` fingerprints of a text, each from the shingle hashes mixed anew; zero without words."""
-    hashes = shingle_hashes(text, words)
-    out = np.zeros(lanes, np.uint64)
-    for lane in range(lanes if len(hashes) else 0):
-        mixed = hashes + np.uint64((lane + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))
-        mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        mixed ^= mixed >> np.uint64(31)
-        out[lane] = majority(mixed)
-    return out
-
-
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64)
@@ -288,28 +275,11 @@ def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
     return prints.join(all_classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Fingerprints of 64 bits in a wide one.
-LANES = 4
-#: Share of the wide bits in which texts at the similarity asked for differ, and how far above it still counts.
-SLACK = 1.2
-
-
-def wide_radius(similarity: float) -> int:
-    """Bits of a wide fingerprint in which texts of this similarity (Jaccard) may differ.
-
-    Two sets of this similarity have the cosine 2J / (1 + J), and differ in the share of bits
-    that their angle is of a half turn; SLACK allows for chance.
-    """
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(64 * LANES * share * SLACK)
-
-
-def _wide_rows(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+def _set_ids(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column(1).to_pylist()
-        ids = np.array([set_id(shingle_set(t, words)) for t in texts], np.int64)
-        prints = np.array([wide_fingerprint(t, words, LANES) for t in texts], np.uint64).reshape(-1, LANES).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids), *(pa.array(prints[:, k]) for k in range(LANES))], names=["doc_id", "id", *(f"f{k}" for k in range(LANES))])
+        sets = [shingle_set(t, words) for t in batch.column(1).to_pylist()]
+        ids, sizes = pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), ids, sizes], names=["doc_id", "id", "size"])
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -321,41 +291,21 @@ def _set_rows(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), shingles], names=["root", "id", "shingles"]).filter(own)
 
 
-def _banded(batches: Iterator[pa.RecordBatch], bits: int, bands: int) -> Iterator[pa.RecordBatch]:
-    """id, f0, ...: a row for each band, keyed by the values of the band's bits."""
-    rng = np.random.default_rng(11)
-    places = np.array([rng.choice(64 * LANES, bits, replace=False) for _ in range(bands)])
-    for batch in batches:
-        prints = np.stack([batch.column(k + 1).to_numpy() for k in range(LANES)], axis=1)
-        one = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8), bitorder="little").reshape(len(prints), 64 * LANES)
-        for band in range(bands):
-            keys = one[:, places[band]].astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64)) | band << 32
-            yield pa.RecordBatch.from_arrays([pa.array(keys), *batch.columns], names=["k1", "id", *(f"f{k}" for k in range(LANES))])
-
-
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, component_id of docs(doc_id, text): components of texts whose shingles are similar.
 
-    Fingerprints of 256 bits give candidates: texts of at least ``similarity`` meet in some of
-    the bands of sampled bits, and are candidates within the radius. A link counts only if the
-    exact Jaccard similarity of both texts' shingle sets is at least ``similarity``. The bands'
-    bits grow with the table, so keys stay small. Null and wordless texts are one class;
-    repeated rows each get their row; an empty table gives no rows.
+    Two texts are linked if the exact Jaccard similarity of their shingle sets is at least
+    ``similarity``; candidates come from a prefix filter, which loses no link whatever the
+    table's size. Null and wordless texts are one class; repeated rows each get their row; an
+    empty table gives no rows.
     """
     common.prepare(docs.sparkSession)
-    lanes = [f"f{k}" for k in range(LANES)]
-    kinds = ", ".join(f"{c} long" for c in lanes)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    prints, _ = common.staged(texts.mapInArrow(lambda it: _wide_rows(it, words), f"doc_id long, id long, {kinds}"), "wide")
-    classes, classes_path = common.staged(prints.groupBy("id", *lanes).agg(F.min("doc_id").alias("least")), "classes")
-    n = max(1, classes.count())
-    bits = min(28, max(12, int(np.ceil(np.log2(n))) - 4))
-    agree = 1 - np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    bands, radius = int(np.ceil(np.log(0.02) / np.log(1 - agree**bits))), wide_radius(similarity)
-    keyed = classes.select("id", *lanes).mapInArrow(lambda it: _banded(it, bits, bands), f"k1 long, id long, {kinds}")
-    near = keyed.repartition("k1").sortWithinPartitions("k1", "id").mapInPandas(lambda it: _links(it, radius, ["k1"], "id", lanes), "a long, b long")
-    near, near_path = common.staged(near.distinct(), "candidates")
-    found, found_path = common.staged(_components(texts, classes.select("id", "least"), near, words, similarity), "components")
+    prints, _ = common.staged(texts.mapInArrow(lambda it: _set_ids(it, words), "doc_id long, id long, size long"), "sets")
+    classes, classes_path = common.staged(prints.groupBy("id").agg(F.min("doc_id").alias("least")), "classes")
+    shingles = prints.agg(F.sum("size")).first()[0] or 0
+    near, near_path = common.staged(candidate_links(texts, shingles, words, similarity, shingle_set), "candidates")
+    found, _ = common.staged(_components(texts, classes, near, words, similarity), "components")
     common.drop_path(docs.sparkSession, near_path)
     common.drop_path(docs.sparkSession, classes_path)
     return prints.join(found, "id").select("doc_id", "component_id")

@@ -23,7 +23,7 @@ def brute_force(texts, similarity=0.8):
 
 def edited(rng, words, edits):
     copy = list(words)
-    for k in rng.sample(range(len(words) // 5), edits):  # edits far apart: five shingles each
+    for k in rng.sample(range(1, len(words) // 5 - 1), edits):  # edits far apart: five shingles each
         copy[5 * k + 2] = f"e{rng.random()}"
     return copy
 
@@ -55,3 +55,15 @@ def test_set_components_by_brute_force():
         kept.setdefault(x, i)
     assert {i: kept[x] for i, x in enumerate(label)} == want and 12 < len(set(want.values())) < len(texts)
     assert jaccard.set_components([np.empty(0, np.uint64), np.arange(3, dtype=np.uint64)], 0.8).tolist() == [0, 1]
+
+
+def test_no_link_at_the_similarity_is_lost(spark, monkeypatch):
+    rng, texts = random.Random(7), []
+    for _ in range(100):
+        base = [f"w{rng.randrange(5000)}" for _ in range(364)]
+        texts += [" ".join(base), " ".join(edited(rng, base, 8))]  # 320 of 400 shingles: just 0.8
+    want = {i: i - i % 2 for i in range(len(texts))}
+    assert brute_force(texts) == want
+    for shingles in (1 << 21, 3000):  # one part, and many
+        monkeypatch.setattr(jaccard, "PART_SHINGLES", shingles)
+        assert components(spark, texts) == want
