@@ -28,7 +28,7 @@ PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 FIELDS = [c.split(" ")[0] for c in PIECE.split(", ")]
 BIN = f"ready boolean, bin long, used long, content array<struct<{', '.join(c.replace(' ', ': ', 1) for c in PIECE.split(', '))}>>"
 
-#: Items that a task packs at a time.
+#: Items that a task holds; one that reads more packs them, lets its full bins go and reads on, so its memory is bounded.
 HELD_ITEMS = 200_000
 
 
@@ -43,15 +43,17 @@ class Encoder:
     """Texts to arrays of ids, exactly as the `tokenizers` library gives them.
 
     A byte-level vocabulary is also loaded as merge ranks: on plain characters the rank
-    encoder gives the same ids several times faster. All other texts, and vocabularies of
-    another kind, take the library itself.
+    encoder gives the same ids several times faster. All other texts, those that hold an
+    added token of the vocabulary (such as its end mark), and vocabularies of another kind,
+    take the library itself, at its defaults.
     """
 
     def __init__(self, path: str, ranks_path: str | None = None, pattern: str | None = None):
         from tokenizers import Tokenizer
 
         self.exact = Tokenizer.from_file(path)
-        self.exact.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.exact.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added)) if added else None
         self.fast = None
         if ranks_path:
             import tiktoken
@@ -61,7 +63,7 @@ class Encoder:
             self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> np.ndarray:
-        if self.fast is not None and PLAIN.fullmatch(text):
+        if self.fast is not None and PLAIN.fullmatch(text) and not (self.added and self.added.search(text)):
             return np.array(self.fast.encode_ordinary(text), np.uint32)
         return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
 

@@ -463,13 +463,16 @@ def test_best_fit_and_cuts():
 
 
 def test_packing_round_trip(spark, awkward, empty):
-    got = packing.best_fit_packing(awkward, capacity=64).toPandas()
+    marked = [(8, "x <|endoftext|> y"), (9, "<|endoftext|><|endoftext|>"), (10, "é <|endoftext|"), (11, " plain  words,\twell-known " * 90)]
+    rows = [(r[0], r[1]) for r in AWKWARD] + marked
+    got = packing.best_fit_packing(spark.createDataFrame(rows, "doc_id long, text string"), capacity=64).toPandas()
+    assert packing.best_fit_packing(awkward, capacity=64).count() == (got["doc_id"].isin(range(8)) | got["doc_id"].isna()).sum()
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(packing.tokenizer_path())
-    tokenizer.encode_special_tokens = True
+    assert tokenizer.encode("x <|endoftext|> y", add_special_tokens=False).ids == [87, 220, 50256, 331]
     want = []
-    for doc_id, text, *_ in AWKWARD:
+    for doc_id, text in rows:
         ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
         want += [(doc_id, k, a, n, zlib.crc32(np.array(ids[a : a + n], "<u4").tobytes())) for k, (a, n) in enumerate(packing.cut(len(ids), 64))]
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
