@@ -58,7 +58,7 @@ def op6_decontaminate(spark, sf_dir):
 
 
 def op7_secrets(spark, sf_dir):
-    return scan_secrets(table(spark, sf_dir, "documents"), example_owners=3)
+    return scan_secrets(table(spark, sf_dir, "documents"), example_owners=3, example_repos=20)
 
 
 def op8_simhash(spark, sf_dir):
@@ -110,7 +110,7 @@ ORACLES: dict[str, str] = {
               AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = o.rid AND b.start < o.stop AND o.start < b.stop)
         ),
         found AS (SELECT * FROM base UNION ALL SELECT * FROM more),
-        copied AS (SELECT v FROM found JOIN docs USING (rid) GROUP BY v HAVING count(DISTINCT owner) >= 3),
+        copied AS (SELECT v FROM found JOIN docs USING (rid) GROUP BY v HAVING count(DISTINCT owner) >= 3 OR count(DISTINCT doc_id) >= 20),
         judged AS (SELECT *, v IN (SELECT v FROM copied) AS copied FROM found)
         SELECT doc_id,
             count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,

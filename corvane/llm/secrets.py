@@ -3,8 +3,8 @@
 Base spans come from three patterns. The method adds spans of kind `owned`: long mixed
 tokens that no pattern names. How live they look is decided by the corpus: the hash of
 each candidate is counted over distinct repositories (documents) and owners (sources).
-What many owners carry is a copied example; what few owners carry is taken for a
-credential and reported.
+What many owners or many repositories carry is a copied example; what is particular to few
+of both is taken for a credential and reported.
 """
 
 from __future__ import annotations
@@ -24,33 +24,63 @@ KINDS = ("assign", "access", "hex", "owned")
 OWNED = r"[A-Za-z0-9+/_-]{24,}"
 OWNED_MIX = r"^(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9])"
 
-SPAN = "struct<start: int, end: int, rank: int, value: string>"
-SORTED_SPANS = "array<struct<start: int, rank: int, end: int, value: string>>"
+#: Places in code points (start, end) and in bytes (first, stop); sorted by start, then kind.
+SPANS = "array<struct<start: int, rank: int, end: int, first: int, stop: int, value: string>>"
+#: Parts that the rows of one value are dealt to when its judgement is joined by a shuffle.
+SALTS = 32
 
 
-def _spans(text: Column, pattern: str, rank: int, value: Column | None = None) -> Column:
-    """All leftmost non-overlapping matches: array of (start, end, rank, value), in code points.
+# The expressions below are SQL text: nested lambdas are built far faster from text than call by call.
 
-    The pieces between the matches give the gaps, the matches their lengths; a fold over
-    both gives the places. ``value``: another array, of what to keep of each match.
+
+def _let(name: str, value: str, body: str) -> str:
+    """``body`` with ``name`` for a value that is computed once, however often the body reads it."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def running(values: str, combine: str, zero: int) -> str:
+    """For each element of an array of whole numbers, all elements up to it combined.
+
+    ``combine``: SQL of {a} and {b}. A fold that appends copies what it has; so the array is
+    folded in blocks of about the square root of its size, and then the blocks' last values.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    steps = F.arrays_zip(found.alias("m"), (found if value is None else value).alias("v"), F.slice(gaps, 1, F.size(found)).alias("g"))
-    start = F.struct(F.lit(0).alias("at"), F.lit([]).cast(f"array<{SPAN}>").alias("out"))
+    step = "cast(ceil(sqrt(size(_v))) AS int)"
 
-    def step(state: Column, x: Column) -> Column:
-        begin = state["at"] + F.length(x["g"])
-        end = begin + F.length(x["m"])
-        span = F.struct(begin.alias("start"), end.alias("end"), F.lit(rank).alias("rank"), x["v"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
+    def fold(block: str) -> str:
+        both = combine.format(a=f"coalesce(try_element_at(_d, -1), {zero})", b="_x")
+        return f"aggregate({block}, cast(array() AS array<int>), (_d, _x) -> concat(_d, array({both})))"
 
-    return F.aggregate(steps, start, step, lambda state: state["out"])
+    lifted = _let(
+        "_b", f"concat(array({zero}), {fold('transform(_p, _q -> element_at(_q, -1))')})",
+        f"flatten(transform(_p, (_q, _i) -> transform(_q, _x -> {combine.format(a='_b[_i]', b='_x')})))",
+    )
+    blocked = _let("_p", f"transform(sequence(0, size(_v) - 1, {step}), _at -> {fold(f'slice(_v, _at + 1, {step})')})", lifted)
+    return _let("_v", values, f"if(size(_v) > 0, {blocked}, cast(array() AS array<int>))")
 
 
-def _if_any(text: Column, test: Column, spans: Column) -> Column:
-    """The spans, looked for only where a cheap test finds that there can be any."""
-    return F.when(test, spans).otherwise(F.lit([]).cast(f"array<{SPAN}>"))
+SUM, MAX, MIN = "{a} + {b}", "greatest({a}, {b})", "least({a}, {b})"
+LARGEST = (1 << 31) - 1
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _spans(text: str, test: str, pattern: str, rank: int, value: str = "_x.m") -> str:
+    """All leftmost non-overlapping matches, looked for only where the cheap ``test`` finds that there can be any.
+
+    The pieces between the matches give the gaps, the matches their lengths; their sums are
+    the places. ``value``: what to keep of the match _x.m.
+    """
+    matches, gaps = f"regexp_extract_all({text}, {_quoted(pattern)}, 0)", f"split({text}, {_quoted(pattern)}, -1)"  # one gap more than matches
+    pairs = f"zip_with({matches}, {gaps}, (_m, _g) -> named_struct('m', _m, 'g', _g))"
+    ends = running("transform(_f, _x -> length(_x.g) + length(_x.m))", SUM, 0)
+    stops = running("transform(_f, _x -> octet_length(_x.g) + octet_length(_x.m))", SUM, 0)
+    span = f"named_struct('start', _e.e - length(_x.m), 'rank', {rank}, 'end', _e.e, 'first', _e.o - octet_length(_x.m), 'stop', _e.o, 'value', {value})"
+    both = f"zip_with({ends}, {stops}, (_e, _o) -> named_struct('e', _e, 'o', _o))"
+    placed = f"zip_with(_f, {both}, (_x, _e) -> {span})"
+    found = _let("_f", f"filter({pairs}, _x -> _x.m IS NOT NULL)", placed)
+    return f"if({test}, {found}, cast(array() AS {SPANS}))"
 
 
 def _joined(spans: Column) -> Column:
@@ -59,60 +89,57 @@ def _joined(spans: Column) -> Column:
     return F.array_join(each, ",")
 
 
-def _ordered(spans: Column) -> Column:
-    return F.array_sort(
-        F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["value"].alias("value")))
-    )
+def _apart(spans: str) -> str:
+    """Sorted spans without those of kind `owned` that overlap one of the base kinds."""
+    reach = running(f"transform({spans}, _x -> if(_x.rank < 3, _x.end, 0))", MAX, 0)
+    ahead = running(f"reverse(transform({spans}, _x -> if(_x.rank < 3, _x.start, {LARGEST})))", MIN, LARGEST)
+    free = f"zip_with({reach}, reverse({ahead}), (_r, _a) -> named_struct('r', _r, 'a', _a))"
+    marked = f"zip_with({spans}, {free}, (_s, _y) -> if(_s.rank < 3 OR (_y.r <= _s.start AND _y.a >= _s.end), _s, NULL))"
+    return f"filter({marked}, _x -> _x IS NOT NULL)"
 
 
 def candidate_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``_base`` (sorted spans of the three patterns) and ``_more`` (candidates of kind `owned`)."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    value = F.regexp_extract_all(t, F.lit(ASSIGN), F.lit(2))
-    assign = F.filter(
-        _if_any(t, t.rlike("(?i)passw|secret|token|api_?key"), _spans(t, ASSIGN, 0, value)), lambda s: F.length(s["value"]) >= ASSIGN_MIN
-    )
-    access = _if_any(t, F.contains(t, F.lit("AKIA")), _spans(t, ACCESS, 1))
-    hexes = _if_any(t, t.rlike(HEX), _spans(t, HEX, 2))
-    base = _ordered(F.concat(assign, access, hexes))
-    more = F.filter(_if_any(t, t.rlike(OWNED), _spans(t, OWNED, 3)), lambda s: s["value"].rlike(OWNED_MIX))
-    free = F.filter(more, lambda s: ~F.exists(F.col("_base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return docs.withColumn("_base", base).withColumn("_more", free)
+    """``docs`` with ``_spans``: sorted spans of the three patterns and candidates of kind `owned` that overlap none of them."""
+    assign = _spans("_t", "_t RLIKE '(?i)passw|secret|token|api_?key'", ASSIGN, 0, f"regexp_extract(_x.m, {_quoted(ASSIGN)}, 2)")
+    assign = f"filter({assign}, _x -> length(_x.value) >= {ASSIGN_MIN})"
+    access = _spans("_t", "contains(_t, 'AKIA')", ACCESS, 1)
+    hexes = _spans("_t", f"_t RLIKE {_quoted(HEX)}", HEX, 2)
+    more = f"filter({_spans('_t', f'_t RLIKE {_quoted(OWNED)}', OWNED, 3)}, _x -> _x.value RLIKE {_quoted(OWNED_MIX)})"
+    found = _let("_all", f"array_sort(concat({assign}, {access}, {hexes}, {more}))", f"if(exists(_all, _x -> _x.rank = 3) AND exists(_all, _x -> _x.rank < 3), {_apart('_all')}, _all)")
+    return docs.withColumn("_spans", F.expr(_let("_t", f"coalesce(`{text}`, '')", found)))
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """found(hash, repo, owner): distinct repositories and owners of each hash.
+    """found(hash, repo, owner): distinct repositories and owners of each hash; null repositories don't count.
 
-    Distinct triples first, so a hash in a third of all rows meets its counter as one
-    partial sum from each task.
+    Distinct pairs first, so a hash in a third of all rows meets its counter as one partial
+    count from each task.
     """
-    triples = found.select("hash", "repo", "owner").distinct()
-    owners = triples.groupBy("hash", "owner").agg(F.count("repo").alias("n"))
-    return owners.groupBy("hash").agg(F.count("owner").alias("owners"), F.sum("n").alias("repos"))
+    return found.groupBy("hash").agg(F.count_distinct("owner").alias("owners"), F.count_distinct("repo").alias("repos"))
 
 
-def scan_secrets(docs: DataFrame, example_owners: int = 3, owner: str = "source", keep: list[str] | None = None) -> DataFrame:
+def scan_secrets(docs: DataFrame, example_owners: int = 3, owner: str = "source", keep: list[str] | None = None, example_repos: int = 20) -> DataFrame:
     """Secrets in docs(doc_id, text, source): doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_owned, n_live, n_example.
 
     One row for each row of ``docs``, repeated rows included. A null text counts as empty,
-    and an empty text has no spans (the hash is that of the empty text). A null owner is an
-    owner of its own. n_live and n_example count a document's spans whose value is carried
-    by fewer, and by at least ``example_owners`` owners. An empty table gives no rows.
-    Columns named in ``keep`` are returned too, and ``live`` then holds the spans of live-looking
-    credentials in order (null where there are none).
+    and an empty text has no spans (the hash is that of the empty text). A value is a copied
+    example if at least ``example_owners`` owners or at least ``example_repos`` repositories
+    carry it; else it looks live. All rows without an owner count as one owner, of the empty
+    name; rows without an id count as no repository. n_live and n_example count a document's
+    spans of either kind. An empty table gives no rows. Columns named in ``keep`` are returned
+    too, and ``live`` then holds the spans of live-looking credentials in order (null where
+    there are none).
     """
     spark = docs.sparkSession
     extra = [c for c in keep or [] if c != "doc_id"]
     source = F.col(owner) if owner in docs.columns else F.lit(None)
     rows = docs.select(F.col("doc_id"), F.coalesce(source.cast("string"), F.lit("")).alias("_owner"), "text", *[F.col(c).alias(f"_keep_{c}") for c in extra])
-    marked = candidate_spans(rows).drop(*[c for c in ["text"] if "text" not in extra])
-    scanned, _ = common.staged(marked.withColumn("_row", F.monotonically_increasing_id()).drop("text"), "secrets")
-    each = scanned.where((F.size("_base") > 0) | (F.size("_more") > 0)).select(
-        "_row", "doc_id", "_owner", F.explode(F.concat("_base", _ordered(F.col("_more")))).alias("s")
-    )
-    each = each.select("_row", F.col("doc_id").alias("repo"), F.col("_owner").alias("owner"), F.xxhash64(F.col("s.value")).alias("hash"), "s")
-    copied = ownership(each).where(F.col("owners") >= example_owners).select("hash", F.lit(True).alias("copied"))
-    judged = each.join(copied, "hash", "left").withColumn("copied", F.coalesce("copied", F.lit(False)))
+    scanned, _ = common.staged(candidate_spans(rows).withColumn("_row", F.monotonically_increasing_id()).drop("text"), "secrets")
+    each = scanned.where(F.size("_spans") > 0).select("_row", F.col("doc_id").alias("repo"), F.col("_owner").alias("owner"), F.explode("_spans").alias("s"))
+    each = each.withColumn("hash", F.xxhash64(F.col("s.value")))
+    widely = (F.col("owners") >= example_owners) | (F.col("repos") >= example_repos)
+    copied, copied_path = common.staged(ownership(each).where(widely).select("hash"), "copied")
+    judged = _judged(each, copied, copied.count())
     by_row, _ = common.staged(
         judged.groupBy("_row").agg(
             F.array_sort(F.collect_list(F.when((F.col("s.rank") < 3) | ~F.col("copied"), F.col("s")))).alias("_all"),
@@ -121,30 +148,43 @@ def scan_secrets(docs: DataFrame, example_owners: int = 3, owner: str = "source"
         ),
         "judged",
     )
+    common.drop_path(spark, copied_path)
     n_rows, n_spans = by_row.agg(F.count("*"), F.coalesce(F.sum(F.size("_all") + F.size("_live")), F.lit(0))).first()
     out = scanned.join(common.small(by_row, n_rows + n_spans, 150), "_row", "left")
-    spans = F.coalesce(F.col("_all"), F.lit([]).cast(SORTED_SPANS))
+    spans = F.coalesce(F.col("_all"), F.lit([]).cast(SPANS))
+    base = F.filter("_spans", lambda s: s["rank"] < 3)
 
     def count(rank: int) -> Column:
         return F.size(F.filter(spans, lambda s: s["rank"] == rank)).cast("long")
 
     return out.select(
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
-        F.sha2(_joined(F.col("_base")).cast("binary"), 256).alias("base_sha256"), _joined(spans).alias("spans"), count(3).alias("n_owned"),
+        F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(spans).alias("spans"), count(3).alias("n_owned"),
         F.size(F.coalesce("_live", F.array())).cast("long").alias("n_live"), F.coalesce("n_example", F.lit(0)).alias("n_example"),
         *([F.col("_live").alias("live")] if extra else []), *[F.col(f"_keep_{c}").alias(c) for c in extra],
     )
 
 
-def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """``text`` with each of the sorted spans replaced by a mark; spans that overlap share one."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(state: Column, s: Column) -> Column:
-        fresh = F.concat(state["out"], F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.lit(mark))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(s["start"] >= state["at"], fresh).otherwise(state["out"]).alias("out"))
+def _judged(each: DataFrame, copied: DataFrame, n_copied: int) -> DataFrame:
+    """each(hash, …) with ``copied``: is the hash among copied(hash)?
 
-    def finish(state: Column) -> Column:
-        return F.concat(state["out"], F.substring(text, state["at"] + 1, F.length(text)))
-
-    return F.when(spans.isNull(), text).otherwise(F.aggregate(F.coalesce(spans, F.array().cast(SORTED_SPANS)), start, step, finish))
+    Beyond the size for a broadcast both sides are salted, so that the rows of one value go to
+    many tasks.
+    """
+    marked = copied.withColumn("_copied", F.lit(True))
+    if n_copied * 40 <= common.BROADCAST_BYTES:
+        found = each.join(F.broadcast(marked), "hash", "left")
+    else:
+        salted = each.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)))
+        found = salted.join(marked.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>"))), ["hash", "_salt"], "left")
+    return found.withColumn("copied", F.coalesce("_copied", F.lit(False)))
+
+
+def redacted(text: str, spans: str, mark: str = "[SECRET]") -> Column:
+    """The text column with each of the sorted spans replaced by a mark; spans that overlap share one. A null list changes nothing."""
+    reach = running("transform(_l, _x -> _x.stop)", MAX, 0)
+    piece = f"if(_s.first >= _r[_i], concat(cast(substring(_data, _r[_i] + 1, _s.first - _r[_i]) AS string), {_quoted(mark)}), '')"
+    rest = "cast(substring(_data, element_at(_r, -1) + 1, octet_length(_data)) AS string)"
+    joined = _let("_r", f"concat(array(0), {reach})", f"array_join(concat(transform(_l, (_s, _i) -> {piece}), array({rest})), '')")
+    whole = _let("_data", f"cast(`{text}` AS binary)", _let("_l", f"`{spans}`", joined))
+    return F.expr(f"CASE WHEN `{spans}` IS NULL THEN `{text}` ELSE {whole} END")

@@ -257,12 +257,35 @@ def test_secrets(spark, awkward, empty):
     assert got[6]["spans"] == "" and got[7]["spans"] == "assign:2:31,access:9:31" and got[8]["spans"] == "hex:0:16"
     assert (got[9]["n_assign"], got[9]["spans"]) == (2, "assign:0:21,assign:22:43")
     assert got[7]["base_sha256"] == hashlib.sha256(got[7]["spans"].encode()).hexdigest()
-    clean = {r["doc_id"]: r["t"] for r in scan_secrets(df, keep=["text"]).select("doc_id", redacted(F.col("text"), F.col("live")).alias("t")).collect()}
+    clean = {r["doc_id"]: r["t"] for r in scan_secrets(df, keep=["text"]).select("doc_id", redacted("text", "live").alias("t")).collect()}
     assert clean[1] == "k [SECRET] end" and clean[2] == f"see {copied}" and clean[7] == "😀 [SECRET]" and clean[9] == "[SECRET] [SECRET]"
+    # Many repositories of one owner make an example as well, and so do the rows without owner, which are one owner.
+    several = [(i, f"key {live} {copied}" if i < 25 else f"key {copied}" if i < 44 else "none", "one" if i % 2 else None) for i in range(50)]
+    df = spark.createDataFrame(several + [(None, "key " + "Zz9" * 9, "one")] * 30, "doc_id long, text string, source string")
+    rule = {(o, r): {x["doc_id"]: x["n_live"] for x in scan_secrets(df, example_owners=o, example_repos=r).collect()} for o, r in [(3, 20), (3, 30), (2, 99), (3, 99)]}
+    assert rule[3, 20][0] == 0 and rule[3, 20][30] == 0 and rule[3, 20][None] == 1
+    assert rule[3, 30][0] == 1 and rule[3, 30][30] == 0 and rule[2, 99][0] == 0 and rule[3, 99][0] == 2
     odd = scan_secrets(awkward).collect()
     assert len(odd) == len(AWKWARD) and all(r["n_assign"] == 0 and r["spans"] == "" for r in odd) and scan_secrets(empty).count() == 0
 
 
+def test_secrets_of_a_text_with_many_matches(spark, monkeypatch):
+    n = 100_000
+    df = spark.createDataFrame([(1, "é deadbeefdeadbeef" * n, "a"), (2, "x", "a")], "doc_id long, text string, source string")
+    got = scan_secrets(df, keep=["text"]).withColumn("t", redacted("text", "live")).where("doc_id = 1").select("n_hex", "spans", "t").first()
+    assert got["n_hex"] == n and got["spans"].endswith(f",hex:{18 * n - 16}:{18 * n}") and got["t"] == "é [SECRET]" * n
+
+
+def test_secrets_judged_by_a_salted_join(spark, monkeypatch):
+    rng = random.Random(6)
+    values = ["Ab1" * 9 + str(k) for k in range(6)]
+    rows = [(i, " ".join(rng.sample(values, rng.randrange(4))) + " password=" + values[rng.randrange(6)], f"s{rng.randrange(4)}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = sorted(map(tuple, scan_secrets(df, 3, example_repos=40).collect()))
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    assert sorted(map(tuple, scan_secrets(df, 3, example_repos=40).collect())) == want and {r[-1] for r in want} != {0}
+
+
 # 8 SimHash
 
 
