@@ -85,3 +85,20 @@ BROADCAST_BYTES = 48_000_000
 def small(df: DataFrame, rows: int, bytes_a_row: int) -> DataFrame:
     """``df`` marked for broadcast if its rows, counted before, are few enough; else as it is, for a shuffle join."""
     return F.broadcast(df) if rows * bytes_a_row <= BROADCAST_BYTES else df
+
+
+#: Parts that the rows of one key are dealt to where a join must shuffle.
+SALTS = 16
+
+
+def keyed_join(rows: DataFrame, keyed: DataFrame, n: int, bytes_a_row: int, on: list[str], by: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``keyed``, whose ``n`` rows are few for each key, while one key may have a third of ``rows``.
+
+    ``keyed`` is broadcast if it is small enough; else both sides are salted, so that the rows
+    of one key go to many tasks, by a hash of the columns ``by``.
+    """
+    if n * bytes_a_row <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(keyed), on, how)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)))
+    copies = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
+    return salted.join(copies, [*on, "_salt"], how).drop("_salt")

@@ -26,8 +26,6 @@ OWNED_MIX = r"^(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9])"
 
 #: Places in code points (start, end) and in bytes (first, stop); sorted by start, then kind.
 SPANS = "array<struct<start: int, rank: int, end: int, first: int, stop: int, value: string>>"
-#: Parts that the rows of one value are dealt to when its judgement is joined by a shuffle.
-SALTS = 32
 
 
 # The expressions below are SQL text: nested lambdas are built far faster from text than call by call.
@@ -139,7 +137,8 @@ def scan_secrets(docs: DataFrame, example_owners: int = 3, owner: str = "source"
     each = each.withColumn("hash", F.xxhash64(F.col("s.value")))
     widely = (F.col("owners") >= example_owners) | (F.col("repos") >= example_repos)
     copied, copied_path = common.staged(ownership(each).where(widely).select("hash"), "copied")
-    judged = _judged(each, copied, copied.count())
+    judged = common.keyed_join(each, copied.withColumn("_copied", F.lit(True)), copied.count(), 40, ["hash"], ["_row"], "left")
+    judged = judged.withColumn("copied", F.coalesce("_copied", F.lit(False)))
     by_row, _ = common.staged(
         judged.groupBy("_row").agg(
             F.array_sort(F.collect_list(F.when((F.col("s.rank") < 3) | ~F.col("copied"), F.col("s")))).alias("_all"),
@@ -165,21 +164,6 @@ def scan_secrets(docs: DataFrame, example_owners: int = 3, owner: str = "source"
     )
 
 
-def _judged(each: DataFrame, copied: DataFrame, n_copied: int) -> DataFrame:
-    """each(hash, …) with ``copied``: is the hash among copied(hash)?
-
-    Beyond the size for a broadcast both sides are salted, so that the rows of one value go to
-    many tasks.
-    """
-    marked = copied.withColumn("_copied", F.lit(True))
-    if n_copied * 40 <= common.BROADCAST_BYTES:
-        found = each.join(F.broadcast(marked), "hash", "left")
-    else:
-        salted = each.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)))
-        found = salted.join(marked.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>"))), ["hash", "_salt"], "left")
-    return found.withColumn("copied", F.coalesce("_copied", F.lit(False)))
-
-
 def redacted(text: str, spans: str, mark: str = "[SECRET]") -> Column:
     """The text column with each of the sorted spans replaced by a mark; spans that overlap share one. A null list changes nothing."""
     reach = running("transform(_l, _x -> _x.stop)", MAX, 0)

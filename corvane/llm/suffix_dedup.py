@@ -6,9 +6,11 @@
    anchors' grams are equal. A window is known by its gram and by the hash of its bytes.
 2. Grams that occur once in the corpus leave. Windows of the same bytes are one class with
    a count: a class that occurs twice repeats as a whole.
+   (Two 64-bit hashes, of the gram and of all bytes, must agree for that.)
 3. Classes that share a gram with other classes go, as text, to shards: all classes of a gram
-   to the same one. Each shard's suffixes are sorted with their common prefixes; a start
-   whose suffix agrees with a neighbour in ``length`` bytes is repeated.
+   to the same one. A shard's text goes to a file, its suffixes are sorted with their common
+   prefixes by queues and sequences on disk and by recursion; a start whose suffix agrees with
+   a neighbour in ``length`` bytes is repeated.
 4. The repeated starts go back to all places of their classes, and the bytes they cover are
    taken out of the documents.
 
@@ -18,26 +20,31 @@ Texts are read in place for steps 1, 3 and 4; only windows that must be compared
 from __future__ import annotations
 
 import hashlib
+import logging
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 from .induced import Scratch, sorted_suffixes
 
+LOG = logging.getLogger(__name__)
 BASE = 0x9E3779B97F4A7C15
 #: Bytes of a text that are hashed at once; an anchor's place must fit the bits below.
 CHUNK_BITS = 20
 CHUNK = (1 << CHUNK_BITS) - 4096
 #: Bytes of a gram, as a share of the length.
 GRAM_SHARE = 0.5
-#: Bytes of windows in a shard, which one sort takes (one gram's windows stay together), and in a task.
-SHARD_BYTES = 1_500_000
-TASK_BYTES = 4_000_000
+#: Bytes of windows in a task, and those that close a shard, which one sort takes (one gram's windows stay together).
+TASK_BYTES, SHARD_BYTES = 4_000_000, 6_000_000
+#: Memory of a sort: tuples beyond which queues and arrays are in files, and names that are sorted without recursion.
+TUPLES, NAMES = 1 << 18, 1 << 19
+#: All bytes one higher.
+RAISED = bytes(range(1, 256)) + b"\0"
 #: Classes of a gram beyond which its windows are divided by offset and content.
 HOT_CLASSES = 1000
 #: Starts in a part of a divided window.
@@ -160,62 +167,83 @@ def _window_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
 
-def repeated_starts(windows: list[bytes], starts: list[int], length: int, scratch: Scratch | None = None, base: int = 1 << 22) -> list[np.ndarray]:
-    """For each window, which of its starts begin a string of ``length`` bytes that another start of any window begins.
-
-    The windows are laid end to end, each closed by a symbol below all bytes, and all their
-    suffixes are sorted. No string of a start runs over its window's end.
-    """
-    sizes = [len(w) + 1 for w in windows]
-    offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
-    text = np.frombuffer(b"\xff".join(windows) + b"\xff", np.uint8) + np.uint8(1)  # UTF-8 has no byte 255: closing symbols are 0
-    marked = np.zeros(len(text), bool)
-    last = None
-    scratch = scratch or Scratch()
-    try:
-        for tuples in sorted_suffixes(text, length, scratch, base):
+class Shard:
+    """Windows laid end to end, each closed by a symbol below all bytes; beyond the budget the text is in a file."""
+
+    def __init__(self, scratch: Scratch):
+        self.scratch, self.windows, self.held, self.file, self.size, self.waiting = scratch, [], [], None, 0, 0
+
+    def add(self, window: tuple, data: bytes) -> None:
+        """``window``: gram, content, begin, starts."""
+        self.windows.append((self.size, *window))
+        self.held.append(data.translate(RAISED) + b"\0")  # UTF-8 has no byte 255
+        self.size += len(data) + 1
+        self.waiting += len(data) + 1
+        if self.waiting > self.scratch.tuples:
+            self.file = self.file or self.scratch.file()
+            self.file.write(b"".join(self.held))
+            self.held, self.waiting = [], 0
+
+    def text(self) -> np.ndarray:
+        if self.file is None:
+            return np.frombuffer(b"".join(self.held), np.uint8)
+        self.file.write(b"".join(self.held))
+        self.file.flush()
+        self.held = []
+        return np.asarray(np.memmap(self.file, np.uint8, "r+", shape=(self.size,)))
+
+    def runs(self, length: int, base: int) -> Iterator[tuple]:
+        """(gram, content, begin, end): runs of starts of a string of ``length`` bytes that another start of any window begins.
+
+        All suffixes of the shard are sorted; a start whose suffix agrees with a neighbour in
+        ``length`` bytes is repeated. No string of a start runs over its window's end.
+        """
+        text = self.text()
+        marked, last = self.scratch.array(len(text), bool), None
+        for tuples in sorted_suffixes(text, length, self.scratch, base):
             hit = tuples["lcp"] >= length
             before = np.empty(len(tuples), np.int64)
             before[1:], before[0] = tuples["at"][:-1], tuples["at"][0] if last is None else last
             marked[tuples["at"][hit]] = True
             marked[before[hit]] = True
             last = int(tuples["at"][-1])
-    finally:
-        scratch.close()
-    return [marked[o : o + s] for o, s in zip(offsets.tolist(), starts, strict=False)]
+        for offset, gram, content, begin, starts in self.windows:
+            edges = np.flatnonzero(np.diff(np.concatenate(([0], marked[offset : offset + starts].astype(np.int8), [0]))))
+            yield from ((gram, content, begin + a, begin + b) for a, b in edges.reshape(-1, 2).tolist())
 
 
-def _marked_rows(batches: Iterator[pa.RecordBatch], length: int, shard_bytes: int) -> Iterator[pa.RecordBatch]:
+def _marked_rows(batches: Iterator[pa.RecordBatch], length: int, shard_bytes: int, tuples: int, base: int, tally: dict) -> Iterator[pa.RecordBatch]:
     """Windows sorted by part: runs of repeated starts of each class (begin and end, counted from the window's first start)."""
     names = ["gram", "content", "begin", "end"]
-    held: list[dict] = []
-    size = 0
-
-    def flush() -> pa.RecordBatch:
-        out: list[tuple] = []
-        for row, marks in zip(held, repeated_starts([r["bytes"] for r in held], [r["starts"] for r in held], length), strict=True):
-            edges = np.flatnonzero(np.diff(np.concatenate(([0], marks.astype(np.int8), [0]))))
-            out += [(row["gram"], row["content"], row["begin"] + a, row["begin"] + b) for a, b in edges.reshape(-1, 2).tolist()]
-        columns = zip(*out, strict=True) if out else [()] * 4
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+    scratch = Scratch(tuples)
+
+    def flush(shard: Shard) -> pa.RecordBatch:
+        columns = list(zip(*shard.runs(length, base), strict=True)) or [()] * 4
+        tally["shards"] += 1
+        tally["bytes"] += shard.size
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
     seen: set[tuple] = set()
-    part = None
-    for batch in batches:
-        for row in batch.to_pylist():
-            if row["part"] != part:
-                if size >= shard_bytes:
-                    yield flush()
-                    held, size = [], 0
-                part, seen = row["part"], set()
-            key = (row["gram"], row["content"], row["begin"])
-            if key not in seen:  # repeated rows of the table bring a window twice
-                seen.add(key)
-                held.append(row)
-                size += len(row["bytes"])
-    if held:
-        yield flush()
+    shard, part = Shard(scratch), None
+    try:
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[0] != part:
+                    if shard.size >= shard_bytes:
+                        yield flush(shard)
+                        shard = Shard(scratch)
+                    part, seen = row[0], set()
+                key = row[1:4]
+                if key not in seen:  # repeated rows of the table bring a window twice
+                    seen.add(key)
+                    shard.add(row[1:5], row[5])
+        if shard.windows:
+            yield flush(shard)
+    finally:
+        scratch.close()
+    for name, n in scratch.done.items():
+        tally[name] += n
 
 
 def _cut_rows(batches: Iterator[pa.RecordBatch], length: int, keep_text: bool) -> Iterator[pa.RecordBatch]:
@@ -243,51 +271,55 @@ def _cut_rows(batches: Iterator[pa.RecordBatch], length: int, keep_text: bool) -
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=names)
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, shard_bytes: int = SHARD_BYTES, hot_classes: int = HOT_CLASSES, keep_text: bool = False) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, length: int = 400, shard_bytes: int = SHARD_BYTES, hot_classes: int = HOT_CLASSES, keep_text: bool = False,
+    tuples: int = TUPLES, names: int = NAMES,
+) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and ``kept``, the bytes that stay) for each row of docs(doc_id, text).
 
     A byte is removed if a string of ``length`` bytes over it also starts anywhere else in the
     table, the same document included. A null text counts as empty; texts shorter than
     ``length`` keep everything; repeated rows are documents of their own and repeat each other.
     Bytes are those of UTF-8, so a cut may split a character. An empty table gives no rows.
+    ``tuples`` and ``names`` bound the memory of a sort. What the sorts did (shards, bytes,
+    spills, recursions, mapped arrays) is logged.
     """
     spark = docs.sparkSession
     common.prepare(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     anchors, anchors_path = common.staged(texts.mapInArrow(lambda it: _anchor_rows(it, length), ANCHOR), "anchors")
     twice, twice_path = common.staged(anchors.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "grams")
-    found, found_path = common.staged(anchors.join(common.small(twice, twice.count(), 40), "gram", "left_semi"), "windows")
+    found, found_path = common.staged(common.keyed_join(anchors, twice, twice.count(), 40, ["gram"], ["doc_id", "first"], "left_semi"), "windows")
     common.drop_path(spark, anchors_path)
     common.drop_path(spark, twice_path)
 
     place = F.struct(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "text_hash", "first", "starts")
-    classes = found.groupBy("gram", "content").agg(F.count("*").alias("n"), F.min(place).alias("place"))
-    per_gram = classes.groupBy("gram").agg(F.count("*").alias("classes"))
-    classes, classes_path = common.staged(classes.join(per_gram, "gram"), "classes")
+    classes, classes_path = common.staged(found.groupBy("gram", "content").agg(F.count("*").alias("n"), F.min(place).alias("place")), "classes")
     whole = classes.where("n > 1").select("gram", "content", F.lit(0).alias("begin"), F.col("place.starts").alias("end"))
-
-    compared = classes.where("classes > 1").select(
-        "place.doc_id", "place.text_hash", F.struct("place.first", "place.starts", "gram", "content", (F.col("classes") > hot_classes).alias("hot")).alias("w")
+    shared, shared_path = common.staged(classes.groupBy("gram").agg(F.count("*").alias("classes")).where("classes > 1"), "shared")
+    several = common.keyed_join(classes, shared, shared.count(), 50, ["gram"], ["content"])
+    compared, compared_path = common.staged(
+        several.select("place.doc_id", "place.text_hash", F.struct("place.first", "place.starts", "gram", "content", (F.col("classes") > hot_classes).alias("hot")).alias("w")), "compared"
     )
     n_windows, n_bytes = compared.agg(F.count("*"), F.coalesce(F.sum(F.col("w.starts") + length), F.lit(0))).first()
     wanted = compared.groupBy("doc_id", "text_hash").agg(F.collect_list("w").alias("wanted"))
     keyed = texts.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "text_hash", "text")
     with_text = keyed.join(common.small(wanted, n_windows, 130), ["doc_id", "text_hash"]).select("wanted", "text")
     windows = with_text.mapInArrow(lambda it: _window_rows(it, length), "part long, gram long, content long, begin int, starts int, bytes binary")
-    tasks = max(spark.sparkContext.defaultParallelism, -(-n_bytes // TASK_BYTES))
+    tally = {k: spark.sparkContext.accumulator(0) for k in ("shards", "bytes", "spills", "recursions", "mapped")}
     compared_starts = (
-        windows.repartition(tasks, "part").sortWithinPartitions("part", "gram", "content", "begin")
-        .mapInArrow(lambda it: _marked_rows(it, length, shard_bytes), "gram long, content long, begin int, end int")
+        windows.repartition(max(1, -(-n_bytes // TASK_BYTES)), "part").sortWithinPartitions("part", "gram", "content", "begin")
+        .mapInArrow(lambda it: _marked_rows(it, length, shard_bytes, tuples, names, tally), "gram long, content long, begin int, end int")
     )
     marks, marks_path = common.staged(compared_starts.unionByName(whole), "marks")
+    LOG.info("windows sorted: %s", {"windows": n_windows} | {k: v.value for k, v in tally.items()})
 
-    hits = found.join(common.small(marks, marks.count(), 130), ["gram", "content"])
+    hits = common.keyed_join(found, marks, marks.count(), 130, ["gram", "content"], ["doc_id", "first"])
     runs = hits.select(
-        F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "text_hash",
-        F.struct((F.col("first") + F.col("begin")).alias("begin"), (F.col("first") + F.col("end")).alias("end")).alias("run"),
+        F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "text_hash", (F.col("first") + F.col("begin")).alias("begin"), (F.col("first") + F.col("end")).alias("end")
     )
-    runs, runs_path = common.staged(runs.groupBy("doc_id", "text_hash").agg(_merged(F.collect_set("run")).alias("runs")), "runs")
-    for path in (found_path, classes_path, marks_path):
+    runs, runs_path = common.staged(_merged(runs), "runs")
+    for path in (found_path, classes_path, shared_path, compared_path, marks_path):
         common.drop_path(spark, path)
     size = runs.agg(F.count("*"), F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()
     keys = (F.coalesce(texts["doc_id"], F.lit(-1)) == runs["doc_id"]) & (texts["text_hash"] == runs["text_hash"])
@@ -296,14 +328,12 @@ def remove_repeats(docs: DataFrame, length: int = 400, shard_bytes: int = SHARD_
     return out if keep_text else out.drop("kept")
 
 
-def _merged(runs):
-    """Runs in order, those that touch or overlap as one."""
-    run = "array<struct<begin: int, end: int>>"
-
-    def step(done, r):
-        last = F.try_element_at(done, F.lit(-1))
-        longer = F.struct(last["begin"].alias("begin"), F.greatest(last["end"], r["end"]).alias("end"))
-        touching = (F.size(done) > 0) & (last["end"] >= r["begin"])
-        return F.when(touching, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(r)))
-
-    return F.aggregate(F.array_sort(runs), F.lit([]).cast(run), step)
+def _merged(runs: DataFrame) -> DataFrame:
+    """runs(doc_id, text_hash, begin, end): one row for each document with its runs in order; those that touch or overlap are one."""
+    document = ["doc_id", "text_hash"]
+    before = Window.partitionBy(*document).orderBy("begin", "end").rowsBetween(Window.unboundedPreceding, -1)
+    until = Window.partitionBy(*document).orderBy("begin", "end").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    new = F.coalesce(F.col("begin") > F.max("end").over(before), F.lit(True)).cast("int")
+    islands = runs.withColumn("new", new).withColumn("island", F.sum("new").over(until))
+    each = islands.groupBy(*document, "island").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
+    return each.groupBy(*document).agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("runs"))

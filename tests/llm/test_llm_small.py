@@ -458,8 +458,10 @@ def slow_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"hot_classes": 2}, {"shard_bytes": 300}])
-def test_repeats_against_brute_force(spark, options):
+@pytest.mark.parametrize("options", [{}, {"hot_classes": 2}, {"shard_bytes": 300}, {"tuples": 50, "names": 40}])
+def test_repeats_against_brute_force(spark, options, monkeypatch):
+    if "tuples" in options:
+        monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
     rng = random.Random(3)
     passage = "".join(rng.choice("abcdefgh") for _ in range(60))
     texts = ["".join(rng.choice("abc é") for _ in range(rng.randrange(0, 120))) for _ in range(50)] + [None, "", "a" * 300, "ab" * 100, *[passage] * 3]
