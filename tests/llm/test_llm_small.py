@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from corvane.llm import common, packing, simhash
 from corvane.llm.ann import nearest_neighbours
 from corvane.llm.components import connected_components
-from corvane.llm.decontaminate import contaminated, running_hashes, tile
+from corvane.llm.decontaminate import contaminated, running_hashes, tile, words
 from corvane.llm.induced import TUPLE, Scratch, sorted_suffixes
 from corvane.llm.langid import WINDOW, fit_language_model, identify_language, windows_of
 from corvane.llm.quality import fit_neighbour_vote, score_texts, trigram_counts
@@ -22,6 +22,7 @@ from corvane.llm.sharding import ConcurrentCommit, ShardStore, reshard
 from corvane.llm.suffix_dedup import remove_repeats
 from corvane.llm.toxicity import Scratch as Marks
 from corvane.llm.toxicity import distinct_ngrams, fit_toxicity
+from corvane.session import table
 
 #: Null and empty texts, a null id, repeated rows, a long text; columns that clash with names used inside.
 AWKWARD = [
@@ -237,11 +238,45 @@ def test_contamination(spark, awkward, empty):
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     got = {(r["doc_id"], r["item_id"]): (r["coverage"], r["n_tiles"]) for r in contaminated(docs, bench).collect()}
     assert got == {(10, 1): (1.0, 1), (11, 1): (1.0, 2), (13, 2): (1.0, 1), (15, 1): (0.8, 1)}
-    blocks = {(r["doc_id"], r["item_id"]) for r in contaminated(docs, bench, block_chars=20).collect()}
-    assert blocks == set(got)
+    # Nulls, a null id, repeated rows and a very long text, with something to be found in them.
+    wide = spark.createDataFrame([(7, "word " * 30), (8, "some words here and there"), (9, "same row"), (10, None)], "item_id long, text string")
+    odd = sorted(((r["doc_id"], r["item_id"], r["coverage"], r["n_tiles"]) for r in contaminated(awkward, wide).collect()), key=str)
+    assert odd == [(4, 9, 1.0, 1), (4, 9, 1.0, 1), (6, 7, 1.0, 1), (None, 8, 1.0, 1)]
     assert contaminated(awkward, bench).count() == 0 and contaminated(empty, bench).count() == 0 and contaminated(docs, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("salted", [False, True])
+def test_contamination_against_all_pairs(spark, monkeypatch, salted):
+    if salted:
+        monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    docs, bench = table(spark, "/root/testdata/sf0.001", "documents"), table(spark, "/root/testdata/sf0.001", "benchmark")
+    rng = random.Random(3)
+    items = [(r["item_id"], words(r["text"])) for r in bench.collect()]
+    template = "which of the following words is right".split()
+    items += [(1000 + k, template + [rng.choice("abcdef") for _ in range(rng.randrange(0, 9))]) for k in range(20)]
+    texts = [(r["doc_id"], words(r["text"])) for r in docs.collect()]
+    texts += [(5000 + k, template + [rng.choice("abcdef") for _ in range(rng.randrange(0, 9))] * rng.randrange(1, 3)) for k in range(30)]
+    for k in range(40):  # reordered and shortened items inside other words
+        own = rng.choice(items)[1]
+        cut = rng.randrange(len(own))
+        texts.append((6000 + k, ["x", *own[cut : cut + rng.randrange(3, 60)], "y", *own[: max(0, cut - rng.randrange(3))], "z"]))
+    numbers = {w: i for i, w in enumerate(sorted({w for _, t in items + texts for w in t}))}
+    want = []
+    for doc_id, doc in texts:
+        for item_id, item in items:
+            found = tile(np.array([numbers[w] for w in doc], np.int64), np.array([numbers[w] for w in item], np.int64), 5)
+            if sum(t[2] for t in found) >= 0.8 * len(item) - 1e-9:
+                want.append((doc_id, item_id, [tuple(t) for t in found]))
+    frame = lambda rows, name: spark.createDataFrame([(i, " ".join(w)) for i, w in rows], f"{name} long, text string")
+    got = contaminated(frame(texts, "doc_id"), frame(items, "item_id")).collect()
+    assert len(want) > 20 and sorted((r["doc_id"], r["item_id"], [tuple(t) for t in r["tiles"]]) for r in got) == sorted(want)
+
+
+def test_tiling_of_repetitive_words_is_not_by_pairs():
+    assert tile(np.zeros(200_000, np.int64), np.zeros(1000, np.int64), 5) == [(0, 0, 1000)]
+    assert len(tile(np.array([0] * 99 + [1] + [0] * 50_000), np.array([0, 2] * 30 + [0] * 400), 5)) >= 1
+
+
 # 7 secrets
 
 
