@@ -87,18 +87,24 @@ def small(df: DataFrame, rows: int, bytes_a_row: int) -> DataFrame:
     return F.broadcast(df) if rows * bytes_a_row <= BROADCAST_BYTES else df
 
 
-#: Parts that the rows of one key are dealt to where a join must shuffle.
-SALTS = 16
+#: A key with more than this share of the rows is hot, so there are at most as many hot keys as its inverse.
+HOT_SHARE = 0.001
 
 
-def keyed_join(rows: DataFrame, keyed: DataFrame, n: int, bytes_a_row: int, on: list[str], by: list[str], how: str = "inner") -> DataFrame:
+def keyed_join(rows: DataFrame, keyed: DataFrame, n: int, bytes_a_row: int, on: list[str], how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
     """``rows`` joined with ``keyed``, whose ``n`` rows are few for each key, while one key may have a third of ``rows``.
 
-    ``keyed`` is broadcast if it is small enough; else both sides are salted, so that the rows
-    of one key go to many tasks, by a hash of the columns ``by``.
+    ``keyed`` is broadcast if it is small enough. Else the rows of hot keys are joined with
+    these keys' part of it, which is broadcast, and only the others are shuffled. ``hot``: the
+    hot keys, where they are known from counts taken before.
     """
     if n * bytes_a_row <= BROADCAST_BYTES:
         return rows.join(F.broadcast(keyed), on, how)
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)))
-    copies = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    if hot is None:
+        least = rows.count() * HOT_SHARE
+        hot = rows.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > least).select(*on)
+    hot, _ = staged(hot, "hot")
+    split = F.broadcast(hot)  # at most 1 / HOT_SHARE keys
+    few = rows.join(split, on, "left_anti").join(keyed, on, how)
+    many = rows.join(split, on, "left_semi").join(F.broadcast(keyed.join(split, on, "left_semi")), on, how)
+    return few.unionByName(many)

@@ -242,7 +242,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 5, threshol
 
     An item is covered to the threshold only if enough of its seeds are shared; so its most
     frequent seeds, up to one fewer than that, need not find candidates, and a seed that many
-    items share links nothing unless an item has hardly another. Joins are by size or salted.
+    items share links nothing unless an item has hardly another. Joins go by size; hot keys are
+    split from the others.
     """
     spark = docs.sparkSession
     common.prepare(spark)
@@ -265,9 +266,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 5, threshol
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: _doc_rows(it, least, bits), "doc_id long, at array<int>, hashes array<long>")
     hits, _ = common.staged(rows.withColumn("row", F.monotonically_increasing_id()), "hits")
     each = hits.select("row", F.explode("hashes").alias("hash"))
-    pairs = common.keyed_join(each, rarest, rarest.count(), 40, ["hash"], ["row"]).select("row", "item").distinct()
+    pairs = common.keyed_join(each, rarest, rarest.count(), 40, ["hash"]).select("row", "item").distinct()
     pairs, _ = common.staged(pairs, "pairs")
     n_rows, n_places = hits.agg(F.count("*"), F.coalesce(F.sum(F.size("at")), F.lit(0))).first()
     with_doc = pairs.join(common.small(hits, 4 * n_rows + n_places, 16), "row")
-    with_item = common.keyed_join(with_doc, items, 6 * n_items + n_words, 10, ["item"], ["row"])
+    with_item = common.keyed_join(with_doc, items, 6 * n_items + n_words, 10, ["item"])
     return with_item.select("doc_id", "at", "hashes", "item_id", "words").mapInArrow(lambda it: _tiled(it, least, threshold), RESULT)

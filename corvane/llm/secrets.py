@@ -137,7 +137,7 @@ def scan_secrets(docs: DataFrame, example_owners: int = 3, owner: str = "source"
     each = each.withColumn("hash", F.xxhash64(F.col("s.value")))
     widely = (F.col("owners") >= example_owners) | (F.col("repos") >= example_repos)
     copied, copied_path = common.staged(ownership(each).where(widely).select("hash"), "copied")
-    judged = common.keyed_join(each, copied.withColumn("_copied", F.lit(True)), copied.count(), 40, ["hash"], ["_row"], "left")
+    judged = common.keyed_join(each, copied.withColumn("_copied", F.lit(True)), copied.count(), 40, ["hash"], "left")
     judged = judged.withColumn("copied", F.coalesce("_copied", F.lit(False)))
     by_row, _ = common.staged(
         judged.groupBy("_row").agg(

@@ -288,8 +288,10 @@ def remove_repeats(
     common.prepare(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     anchors, anchors_path = common.staged(texts.mapInArrow(lambda it: _anchor_rows(it, length), ANCHOR), "anchors")
-    twice, twice_path = common.staged(anchors.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "grams")
-    found, found_path = common.staged(common.keyed_join(anchors, twice, twice.count(), 40, ["gram"], ["doc_id", "first"], "left_semi"), "windows")
+    twice, twice_path = common.staged(anchors.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "grams")
+    grams, rows = twice.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    hot = twice.where(F.col("n") > rows * common.HOT_SHARE).select("gram")
+    found, found_path = common.staged(common.keyed_join(anchors, twice.select("gram"), grams, 40, ["gram"], "left_semi", hot), "windows")
     common.drop_path(spark, anchors_path)
     common.drop_path(spark, twice_path)
 
@@ -297,7 +299,8 @@ def remove_repeats(
     classes, classes_path = common.staged(found.groupBy("gram", "content").agg(F.count("*").alias("n"), F.min(place).alias("place")), "classes")
     whole = classes.where("n > 1").select("gram", "content", F.lit(0).alias("begin"), F.col("place.starts").alias("end"))
     shared, shared_path = common.staged(classes.groupBy("gram").agg(F.count("*").alias("classes")).where("classes > 1"), "shared")
-    several = common.keyed_join(classes, shared, shared.count(), 50, ["gram"], ["content"])
+    grams, rows_shared = shared.agg(F.count("*"), F.coalesce(F.sum("classes"), F.lit(0))).first()
+    several = common.keyed_join(classes, shared, grams, 50, ["gram"], hot=shared.where(F.col("classes") > rows_shared * common.HOT_SHARE).select("gram"))
     compared, compared_path = common.staged(
         several.select("place.doc_id", "place.text_hash", F.struct("place.first", "place.starts", "gram", "content", (F.col("classes") > hot_classes).alias("hot")).alias("w")), "compared"
     )
@@ -314,7 +317,8 @@ def remove_repeats(
     marks, marks_path = common.staged(compared_starts.unionByName(whole), "marks")
     LOG.info("windows sorted: %s", {"windows": n_windows} | {k: v.value for k, v in tally.items()})
 
-    hits = common.keyed_join(found, marks, marks.count(), 130, ["gram", "content"], ["doc_id", "first"])
+    hot = classes.where(F.col("n") > rows * common.HOT_SHARE).select("gram", "content")
+    hits = common.keyed_join(found, marks, marks.count(), 130, ["gram", "content"], hot=hot)
     runs = hits.select(
         F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "text_hash", (F.col("first") + F.col("begin")).alias("begin"), (F.col("first") + F.col("end")).alias("end")
     )

@@ -245,9 +245,10 @@ def test_contamination(spark, awkward, empty):
     assert contaminated(awkward, bench).count() == 0 and contaminated(empty, bench).count() == 0 and contaminated(docs, bench.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("salted", [False, True])
-def test_contamination_against_all_pairs(spark, monkeypatch, salted):
-    if salted:
+@pytest.mark.parametrize("split", [False, True])
+def test_contamination_against_all_pairs(spark, monkeypatch, split):
+    if split:
+        monkeypatch.setattr(common, "HOT_SHARE", 0.01)
         monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
     docs, bench = table(spark, "/root/testdata/sf0.001", "documents"), table(spark, "/root/testdata/sf0.001", "benchmark")
     rng = random.Random(3)
@@ -311,7 +312,7 @@ def test_secrets_of_a_text_with_many_matches(spark, monkeypatch):
     assert got["n_hex"] == n and got["spans"].endswith(f",hex:{18 * n - 16}:{18 * n}") and got["t"] == "é [SECRET]" * n
 
 
-def test_secrets_judged_by_a_salted_join(spark, monkeypatch):
+def test_secrets_judged_by_a_split_join(spark, monkeypatch):
     rng = random.Random(6)
     values = ["Ab1" * 9 + str(k) for k in range(6)]
     rows = [(i, " ".join(rng.sample(values, rng.randrange(4))) + " password=" + values[rng.randrange(6)], f"s{rng.randrange(4)}") for i in range(60)]
@@ -496,6 +497,7 @@ def slow_repeats(texts, length):
 @pytest.mark.parametrize("options", [{}, {"hot_classes": 2}, {"shard_bytes": 300}, {"tuples": 50, "names": 40}])
 def test_repeats_against_brute_force(spark, options, monkeypatch):
     if "tuples" in options:
+        monkeypatch.setattr(common, "HOT_SHARE", 0.01)
         monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
     rng = random.Random(3)
     passage = "".join(rng.choice("abcdefgh") for _ in range(60))
