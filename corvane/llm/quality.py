@@ -85,14 +85,16 @@ def leading_directions(matrix: np.ndarray, dimensions: int, seed: int = 0) -> np
     return np.ascontiguousarray(right[:dimensions].T)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, learn_from, rows: int) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, learn_from, rows: int, positives: int | None = None) -> DataFrame:
     """At most ``rows`` labelled ids, chosen by a hash of the id, with text and label; null ids, labels and texts don't take part.
 
-    An id with several labels takes the largest, and the largest of several texts.
+    ``positives``: at most so many of label 1 and the rest of the others; without it, whatever
+    comes. An id with several labels takes the largest, and the largest of several texts.
     """
     ids = labels.where(learn_from & F.col("doc_id").isNotNull() & F.col(column).isNotNull())
     ids = ids.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(column).cast("int")).alias("label"))
-    chosen = ids.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(rows)
+    drawn = lambda own, n: own.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(n)
+    chosen = drawn(ids, rows) if positives is None else drawn(ids.where("label = 1"), positives).unionByName(drawn(ids.where("label <> 1"), rows - positives))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
     return texts.join(F.broadcast(chosen), "doc_id")  # at most ``rows`` pairs of numbers
 

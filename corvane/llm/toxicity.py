@@ -70,7 +70,10 @@ class NgramClassifier:
 
 
 def fit_weights(rows: list[np.ndarray], labels: np.ndarray, smoothing: float, penalty: float, steps: int, least: int) -> NgramClassifier:
-    """Logistic regression on presence times log-count ratio; n-grams in under ``least`` texts get no weight."""
+    """Logistic regression on presence times log-count ratio; n-grams in under ``least`` texts get no weight.
+
+    Both classes have the same weight as a whole, however many texts there are of each.
+    """
     size, n = 1 << BITS, len(rows)
     positive, negative = np.zeros(size), np.zeros(size)
     for row, label in zip(rows, labels.tolist(), strict=True):  # the n-grams of a text are distinct
@@ -87,7 +90,7 @@ def fit_weights(rows: list[np.ndarray], labels: np.ndarray, smoothing: float, pe
     columns = np.concatenate(parts) if parts else np.empty(0, np.int32)
     del parts
     values = scale[columns]
-    weights, bias = np.zeros(len(kept)), float(np.log(n_pos / n_neg))
+    weights, bias, share = np.zeros(len(kept)), 0.0, np.where(labels == 1, 0.5 / n_pos, 0.5 / n_neg)
     first, second, moment = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1), 0
     for step in range(steps):
         gradient, error = penalty * weights, np.empty(n)
@@ -95,9 +98,9 @@ def fit_weights(rows: list[np.ndarray], labels: np.ndarray, smoothing: float, pe
             low, high, stop = edges[at], edges[min(n, at + 500)], min(n, at + 500)
             own, column, value = owner[low:high] - at, columns[low:high], values[low:high]
             margin = np.bincount(own, weights=value * weights[column], minlength=stop - at) + bias
-            error[at:stop] = 1 / (1 + np.exp(-np.clip(margin, -40, 40))) - labels[at:stop]
-            gradient += np.bincount(column, weights=value * error[at:stop][own], minlength=len(kept)) / n
-        gradient = np.append(gradient, error.mean())
+            error[at:stop] = share[at:stop] * (1 / (1 + np.exp(-np.clip(margin, -40, 40))) - labels[at:stop])
+            gradient += np.bincount(column, weights=value * error[at:stop][own], minlength=len(kept))
+        gradient = np.append(gradient, error.sum())
         first += 0.1 * (gradient - first)
         second += 0.01 * (gradient**2 - second)
         moment = step + 1
@@ -108,31 +111,59 @@ def fit_weights(rows: list[np.ndarray], labels: np.ndarray, smoothing: float, pe
     return NgramClassifier(out, float(bias))
 
 
-def _featured(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[pa.RecordBatch]:
+def operating_point(margins: np.ndarray, labels: np.ndarray, cost: float) -> float:
+    """The border between margins at which recall less ``cost`` times the rate of false positives is largest.
+
+    Of several such borders the one in the widest gap.
+    """
+    order = np.argsort(-margins, kind="stable")
+    m, positive = margins[order], labels[order] == 1
+    recall, wrong = np.cumsum(positive) / max(1, positive.sum()), np.cumsum(~positive) / max(1, (~positive).sum())
+    gaps = m[:-1] - m[1:]
+    value = np.where(gaps > 0, (recall - cost * wrong)[:-1], -np.inf)
+    if not len(value) or not np.isfinite(value.max()):
+        return float(m[-1])
+    k = max(np.flatnonzero(value >= value.max() - 1e-12), key=lambda i: gaps[i])
+    return float((m[k] + m[k + 1]) / 2)
+
+
+def fit_calibrated(rows: list[np.ndarray], labels: np.ndarray, threshold: float, cost: float, **options) -> NgramClassifier:
+    """A classifier whose score is ``threshold`` at the operating point of margins found out of fold (two halves)."""
+    found = fit_weights(rows, labels, **options)
+    if min((labels == 1).sum(), (labels == 0).sum()) < 20:  # too few to tell
+        return found
+    half, margins = np.arange(len(rows)) % 2, np.empty(len(rows))
+    for k in (0, 1):
+        model = fit_weights([rows[i] for i in np.flatnonzero(half != k)], labels[half != k], **options)
+        for i in np.flatnonzero(half == k).tolist():
+            margins[i] = model.weights[rows[i]].sum(dtype=np.float64) + model.bias
+    found.bias += float(np.log(threshold / (1 - threshold))) - operating_point(margins, labels, cost)
+    return found
+
+
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     scratch = Scratch()
     for batch in batches:
-        found, at = [], []
-        for i, text in enumerate(batch.column(1).to_pylist()):
-            if len(text) <= longest:
-                found.append(np.concatenate(list(distinct_ngrams(text, scratch))).astype(np.int32).tobytes())
-                at.append(i)
-        taken = pa.array(at, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(taken), batch.column(2).take(taken), pa.array(found, pa.binary())], names=["doc_id", "label", "x"])
+        found = [np.concatenate(list(distinct_ngrams(t, scratch))).astype(np.int32).tobytes() for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary())], names=["doc_id", "label", "x"])
 
 
 def fit_toxicity(
-    docs: DataFrame, labels: DataFrame, learn_from, column: str = "toxic", rows: int = 4000, longest: int = 3000,
+    docs: DataFrame, labels: DataFrame, learn_from, column: str = "toxic", rows: int = 2400, positives: int = 800, threshold: float = 0.7, cost: float = 4.0,
     smoothing: float = 1.0, penalty: float = 0.01, steps: int = 40, least: int = 5,
 ) -> NgramClassifier | None:
-    """Fits on at most ``rows`` labelled texts of at most ``longest`` characters (both bound the driver's memory).
+    """Fits on at most ``rows`` labelled texts of any length, at most ``positives`` of them toxic.
 
-    Scoring takes whole texts of any length. None without a labelled text.
+    That bounds the driver's memory: a text counts by its distinct hashed n-grams. ``cost``: how
+    much a rate of false positives weighs against recall where the score is ``threshold``.
+    None without a labelled text. Ties of equal texts with unlike labels are not resolved:
+    both are learned.
     """
     common.prepare(docs.sparkSession)
-    sample = labelled_sample(docs, labels, column, learn_from, rows)
-    found = sample.mapInArrow(lambda it: _featured(it, longest), "doc_id long, label int, x binary").toPandas()
+    sample = labelled_sample(docs, labels, column, learn_from, rows, positives)
+    found = sample.mapInArrow(_featured, "doc_id long, label int, x binary").toPandas()
     found = found.sort_values(["doc_id", "x"]).drop_duplicates("doc_id", keep="last")
     if found.empty:
         return None
     features = [np.frombuffer(x, np.int32) for x in found["x"]]
-    return fit_weights(features, found["label"].to_numpy(np.int64), smoothing, penalty, steps, least)
+    return fit_calibrated(features, found["label"].to_numpy(np.int64), threshold, cost, smoothing=smoothing, penalty=penalty, steps=steps, least=least)
