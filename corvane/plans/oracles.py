@@ -40,7 +40,7 @@ def _terms(column: str) -> str:
 TRIM = r"regexp_replace({0}, '^[\s\x0B\x{{00A0}}\x{{FEFF}}\x{{3000}}]+|[\s\x0B\x{{00A0}}\x{{FEFF}}\x{{3000}}]+$', '', 'g')"
 CHUNKS = f"""plain AS (SELECT doc_id, {PATH} || '.md' AS relative_path, 1 AS start_line, text AS content FROM documents)"""
 VECTORS = f"""vecs AS (SELECT doc_id, {PATH} || '.md' AS relative_path, 1 AS start_line, CASE WHEN doc_id % 13 <> 0 THEN embedding END AS embedding
-    FROM documents JOIN embeddings ON vec_id = doc_id * 7 % 500)"""
+    FROM documents JOIN embeddings ON vec_id = doc_id * 7 % (SELECT greatest(1, count(*)) FROM embeddings))"""
 INDEXED = f"""indexed AS (SELECT relative_path, start_line, content, {_terms("content || ' Root ' || relative_path")} AS terms FROM plain)"""
 PHRASES = """phrases(k, words) AS (VALUES (1, ['onthe']), (2, ['apache', 'license']), (3, ['eeaux']), (4, ['password']))"""
 BM25 = f"""{CHUNKS}, {INDEXED}, {PHRASES},

@@ -41,7 +41,7 @@ def _rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 
 
 def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keyword.with_terms(views.plain_chunks(spark, sf_dir))
+    return views.index(spark, sf_dir)
 
 
 def _paths(spark: SparkSession) -> DataFrame:
@@ -169,7 +169,7 @@ def migrate_add_columns(spark, sf_dir):
 
 @query
 def rebuild_search_text(spark, sf_dir):
-    return keyword.postings(_indexed(spark, sf_dir)).groupBy("term").agg(F.count("*").alias("rows"), F.sum(F.size("places")).alias("occurrences"))
+    return keyword.term_figures(keyword.with_terms(views.plain_chunks(spark, sf_dir)))
 
 
 @query

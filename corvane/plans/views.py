@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions.text import content_hash
-from corvane.session import table
+from corvane.operators import keyword
+from corvane.session import spread, table
+from corvane.sources.snapshots import work_folder
 
 CODE = "\n### code\n```python\n# not a heading\n~~~\n\nx = 1\n````\n\n"
 MATH = "\n$$\n# not a heading\n\n$$ a $$\n$$\n## after\ntext\n"
@@ -19,7 +21,7 @@ def path(suffix: str = ".md"):
 
 def vault(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, relative_path, content: headings, blank lines, code and math blocks, Han text."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     part = lambda n, s: F.when(F.col("doc_id") % n == 0, s).otherwise("")
     content = F.concat(
         F.lit("# "), "source", F.lit("\n\n## "), "lang", F.lit("\n"), F.replace("text", F.lit("\n"), F.lit("\n\n")), part(7, CODE), part(11, MATH), part(5, HAN)
@@ -29,13 +31,31 @@ def vault(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def plain_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document as one chunk, for retrieval queries."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return docs.select(
         "doc_id", path().alias("relative_path"), F.lit(None).cast("string").alias("original_pdf"), F.lit("Root").alias("heading_path"),
         F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), F.col("text").alias("content"),
     )
 
 
+#: Folder of the index of each table that this process has indexed: (application, files with size and time).
+_INDEXES: dict[tuple, str] = {}
+
+
+def index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """plain_chunks with their terms, as an index stores them: made once for a table, then read."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/documents.parquet")
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = [fs.getFileStatus(root), *(fs.listStatus(root) if fs.getFileStatus(root).isDirectory() else [])]
+    key = (spark.sparkContext.applicationId, *((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files))
+    indexed = keyword.with_terms(plain_chunks(spark, sf_dir))
+    if key not in _INDEXES:
+        path = work_folder(spark, "index")
+        indexed.write.parquet(path)
+        _INDEXES[key] = path
+    return spark.read.schema(indexed.schema).parquet(_INDEXES[key])
+
+
 def plain_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A vector for each chunk, out of all rows of the table; null for each 13th document."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")

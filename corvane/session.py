@@ -25,3 +25,16 @@ def build_session(app: str = "corvane", cores: str | int = "*", partitions: int
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables below ``sf_dir`` (any file system Spark can read)."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+#: Bytes up to which a table is dealt out anew before costly work on each row.
+SMALL_TABLE = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table in as many partitions as there are cores: it may be a single row group, which is one task.
+
+    Larger tables stay as they are; their own splits keep all cores busy.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_TABLE else df
