@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corvane.session import table
+from corvane.session import spread, table
 
 from .ann import nearest_neighbours
 from .common import new_path, residue
@@ -19,6 +19,10 @@ from .suffix_dedup import remove_repeats
 from .toxicity import fit_toxicity
 
 
+def _documents(spark, sf_dir):
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def op1_sharding(spark, sf_dir):
     """The rows of the newest version, read back through the manifest."""
     store = reshard(table(spark, sf_dir, "documents"), new_path(spark, "shards"))
@@ -32,21 +36,21 @@ def op2_ann(spark, sf_dir):
 
 
 def op3_quality(spark, sf_dir):
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    docs, labels = _documents(spark, sf_dir), table(spark, sf_dir, "labels")
     held_out = residue("doc_id", 3) == 1
     model = fit_neighbour_vote(docs, labels, ~held_out, column="quality")
     return score_texts(docs.select("doc_id", held_out.alias("held_out"), "text"), model, threshold=0.5)
 
 
 def op4_toxicity(spark, sf_dir):
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    docs, labels = _documents(spark, sf_dir), table(spark, sf_dir, "labels")
     held_out = residue("doc_id", 3) == 1
     model = fit_toxicity(docs, labels, ~held_out, column="toxic")
     return score_texts(docs.select("doc_id", held_out.alias("held_out"), "text"), model, threshold=0.7, prior=0.0)
 
 
 def op5_langid(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     held_out = residue("doc_id", 5) == 0
     model = fit_language_model(docs, ~held_out)
     found = identify_language(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
@@ -54,23 +58,23 @@ def op5_langid(spark, sf_dir):
 
 
 def op6_decontaminate(spark, sf_dir):
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), least=5, threshold=0.8)
+    return contaminated(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), least=5, threshold=0.8)
 
 
 def op7_secrets(spark, sf_dir):
-    return scan_secrets(table(spark, sf_dir, "documents"), example_owners=3, example_repos=20)
+    return scan_secrets(_documents(spark, sf_dir), example_owners=3, example_repos=20)
 
 
 def op8_simhash(spark, sf_dir):
-    return near_duplicates(table(spark, sf_dir, "documents"), radius=2)
+    return near_duplicates(_documents(spark, sf_dir), radius=2)
 
 
 def op9_suffix_dedup(spark, sf_dir):
-    return remove_repeats(table(spark, sf_dir, "documents"), length=400)
+    return remove_repeats(_documents(spark, sf_dir), length=400)
 
 
 def op10_packing(spark, sf_dir):
-    return best_fit_packing(table(spark, sf_dir, "documents"), capacity=1024, end_id=2)
+    return best_fit_packing(_documents(spark, sf_dir), capacity=1024, end_id=2)
 
 
 QUERIES = {
