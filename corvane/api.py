@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import threading
+import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
@@ -11,13 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane import __version__
+from corvane.config import Config
+from corvane.functions import paths
 from corvane.functions.text import content_hash
 from corvane.operators import fusion, keyword, maintenance
 from corvane.operators.chunking import chunk
 from corvane.operators.embedding import EmbeddingService, Model, embed_chunks
 from corvane.schemas import CHUNK_KEY, CHUNK_VECTORS, CHUNKS, DOCUMENTS, INDEX_VERSION, INDEXED_CHUNKS
 from corvane.sources import vault as files
-from corvane.sources.snapshots import SnapshotTable
+from corvane.sources.snapshots import Catalog, SnapshotTable
 
 MAX_QUERY = 4000
 
@@ -40,13 +43,26 @@ class Vault:
     """
 
     def __init__(self, spark: SparkSession, root: str, store: str, loader: Callable[[], Model] | None = None):
-        self.spark, self.root, self.loader = spark, root, loader
-        self.documents = SnapshotTable(spark, f"{store}/documents", DOCUMENTS)
-        self.chunks = SnapshotTable(spark, f"{store}/chunks", INDEXED_CHUNKS)
-        self.vectors = SnapshotTable(spark, f"{store}/vectors", CHUNK_VECTORS)
+        self.spark, self.root, self.loader, self.store = spark, root, loader, store.rstrip("/")
+        self.documents = SnapshotTable(spark, f"{self.store}/documents", DOCUMENTS)
+        self.chunks = SnapshotTable(spark, f"{self.store}/chunks", INDEXED_CHUNKS)
+        self.vectors = SnapshotTable(spark, f"{self.store}/vectors", CHUNK_VECTORS)
+        self.catalog = Catalog(spark, f"{self.store}/_catalog")
         self.embeddings = EmbeddingService(loader or (lambda: (_ for _ in ()).throw(RuntimeError("no model"))), enabled=loader is not None)
         self.status = IndexStatus()
-        self._lock = threading.Lock()
+        self._lock, self._again = threading.Lock(), False
+
+    @classmethod
+    def of(cls, spark: SparkSession, config: Config, store: str, loader: Callable[[], Model] | None = None) -> Vault:
+        return cls(spark, config.path, store, loader if config.embeddings else None)
+
+    def _tables(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """documents, chunks and vectors as of one commit."""
+        _, at = self.catalog.current()
+        return tuple(t.read(at[name]) if at else self.spark.createDataFrame([], t.schema) for name, t in self._named())
+
+    def _named(self) -> list[tuple[str, SnapshotTable]]:
+        return [("documents", self.documents), ("chunks", self.chunks), ("vectors", self.vectors)]
 
     # Index
 
@@ -60,49 +76,100 @@ class Vault:
     def refresh(self) -> IndexStatus:
         """Brings the tables in step with the files: plan, then delete, replace and embed what the plan names.
 
-        One refresh runs at a time. If the listing fails nothing is changed, so files that
-        could not be seen are not taken for deleted.
+        One refresh runs at a time; those asked for meanwhile share one further pass. If the
+        listing fails nothing is changed, so files that could not be seen are not taken for
+        deleted. A file that cannot be read counts as failed and keeps what is stored of it.
+        """
+        if not self._lock.acquire(blocking=False):
+            self._again = True
+            self._lock.acquire()
+            if not self._again:  # the pass that ran meanwhile has seen it all
+                self._lock.release()
+                return self.status
+        try:
+            while True:
+                self._again = False
+                self._pass(lambda: self.spark.createDataFrame([(p,) for p in files.local_paths(self.root)], "relative_path string"), whole=True)
+                if not self._again:
+                    return self.status
+        finally:
+            self._lock.release()
+
+    def on_changes(self, batch: DataFrame) -> IndexStatus:
+        """Applies a batch of newest changes(path, op, …): only the files it names are read again.
+
+        A file that is gone is deleted, whatever the event says. A PDF may belong to any file, so
+        its event makes a whole refresh.
         """
+        routed = maintenance.routed(batch).select(paths.normalised(F.col("path")).alias("relative_path"), "route").distinct()
+        if routed.where("route = 'vault'").limit(1).count():
+            return self.refresh()
         with self._lock:
-            self.status = IndexStatus(state="indexing")
-            try:
-                self._refresh()
-            except Exception as error:
-                self.status.state, self.status.last_error = "error", str(error)
-                raise
+            self._pass(lambda: routed.where("route = 'file'").select("relative_path"), whole=False)
             return self.status
 
-    def _refresh(self) -> None:
-        names = self.spark.createDataFrame([(p,) for p in files.local_paths(self.root)], "relative_path string")
-        texts = files.scan(self.spark, f"file://{self.root}").join(names, "relative_path", "left_semi")
-        scanned = maintenance.twin_pdfs(texts, self.pdfs())
-        stored = self.documents.read()
+    def _pass(self, listing: Callable[[], DataFrame], whole: bool) -> None:
+        self.status = IndexStatus(state="indexing")
+        staged = f"{self.store}/_staged/{uuid.uuid4().hex}"
+        try:
+            self._update(listing(), whole, staged)
+        except Exception as error:
+            self.status.state, self.status.last_error = "error", str(error)
+            raise
+        finally:
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(staged)
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+    def _update(self, names: DataFrame, whole: bool, staged: str) -> None:
+        """The listed files are read once, into a staged snapshot that everything else follows from."""
+
+        def keep(df: DataFrame, name: str) -> DataFrame:
+            df.write.parquet(f"{staged}/{name}")
+            return self.spark.read.schema(df.schema).parquet(f"{staged}/{name}")
+
+        scanned = keep(maintenance.twin_pdfs(files.read_files(names, self.root), self.pdfs()), "scanned")
+        unread, there = scanned.where(F.col("error").isNotNull()), scanned.where(F.col("content").isNotNull())
+        base, at = self.catalog.current()
+        stored, old_chunks, old_vectors = self._tables()
+        visible = stored if whole else stored.join(scanned.select("relative_path"), "relative_path", "left_semi")
         disabled = self.loader is None
-        plan = maintenance.reconcile(scanned, stored, INDEX_VERSION, disabled).cache()
+        plan = maintenance.reconcile(there, visible, INDEX_VERSION, disabled).join(unread.select("relative_path"), "relative_path", "left_anti")
+        plan = keep(plan, "plan")
         counts = maintenance.index_status(plan).first().asDict()
+        problems = {r["relative_path"]: r["error"] for r in unread.select("relative_path", "error").limit(1).collect()}
+        counts["failed"] = unread.count()
         changed = plan.where(F.col("action") == "updated").select("relative_path")
         gone = plan.where(F.col("action") != "skipped").select("relative_path")
-        fresh = scanned.join(changed, "relative_path", "left_semi")
-        chunks = chunk(fresh).join(fresh.select("relative_path", "original_pdf"), "relative_path").select(*CHUNKS.names)
-        if disabled:
-            vectors = self.spark.createDataFrame([], CHUNK_VECTORS)
-        else:
-            self.embeddings.load()
-            embedded = embed_chunks(chunks, self.loader).cache()
-            failures = embedded.where(F.col("embedding_error").isNotNull())
-            counts["failed"] = failures.select("relative_path").distinct().count()
-            if counts["failed"]:
-                counts["state"], self.status.last_error = "degraded", failures.first()["embedding_error"]
-            vectors = embedded.where(F.col("embedding").isNotNull()).select(*CHUNK_VECTORS.names)
+        fresh = there.join(changed, "relative_path", "left_semi")
+        chunks = keep(chunk(fresh).join(fresh.select("relative_path", "original_pdf"), "relative_path").select(*CHUNKS.names), "chunks")
+        vectors = self.spark.createDataFrame([], CHUNK_VECTORS)
+        if not disabled:
+            try:
+                self.embeddings.load()
+                embedded = keep(embed_chunks(chunks, self.loader), "embedded")
+                failures = embedded.where(F.col("embedding_error").isNotNull())
+                counts["failed"] += failures.select("relative_path").distinct().count()
+                problems |= {r["relative_path"]: r["embedding_error"] for r in failures.limit(1).collect()}
+                vectors = embedded.where(F.col("embedding").isNotNull()).select(*CHUNK_VECTORS.names)
+            except Exception as error:  # no model: texts are stored all the same, and a later pass makes the vectors
+                if self.embeddings.state == "ready":
+                    raise
+                counts["failed"] += changed.count()
+                problems[""] = str(error)
+        if counts["failed"]:
+            counts["state"], self.status.last_error = "degraded", next(iter(problems.values()))
         new = fresh.select(
             "relative_path", "file_type", "original_pdf", "mtime", F.unix_millis(F.current_timestamp()).alias("created_at"),
             content_hash(F.col("content")).alias("content_hash"), F.lit(INDEX_VERSION).alias("index_version"), F.lit(False).alias("vectors_complete"),
         )
-        for target, rows in ((self.chunks, keyword.with_terms(chunks)), (self.vectors, vectors)):
-            target.write(maintenance.delete_by_key(target.read(), gone).unionByName(rows))
+        versions = {
+            "chunks": self.chunks.write(maintenance.delete_by_key(old_chunks, gone).unionByName(keyword.with_terms(chunks)), held=at.get("chunks")),
+            "vectors": self.vectors.write(maintenance.delete_by_key(old_vectors, gone).unionByName(vectors), held=at.get("vectors")),
+        }
         documents = maintenance.delete_by_key(stored, gone).unionByName(new)
-        self.documents.write(maintenance.repair_completeness(documents, self.chunks.read(), self.vectors.read(), INDEX_VERSION))
-        plan.unpersist()
+        repaired = maintenance.repair_completeness(documents, self.chunks.read(versions["chunks"]), self.vectors.read(versions["vectors"]), INDEX_VERSION)
+        versions["documents"] = self.documents.write(repaired, held=at.get("documents"))
+        self.catalog.commit(base, versions)
         for k, v in counts.items():
             setattr(self.status, k, v)
 
@@ -113,7 +180,10 @@ class Vault:
 
     def stats(self) -> str:
         """Totals and states as JSON."""
-        row = maintenance.vault_stats(self.documents.read(), self.chunks.read(), self.vectors.read(), INDEX_VERSION).first().asDict()
+        row = maintenance.vault_stats(*self._tables(), INDEX_VERSION).first().asDict()
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.store)
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        row["store_kib"] = round(fs.getContentSummary(root).getLength() / 1024) if fs.exists(root) else 0
         return json.dumps(row | {"version": __version__, "index_version": INDEX_VERSION, "index": asdict(self.status), "embeddings": self.embeddings.state}, indent=2)
 
     def search(self, query: str, limit: int = 5) -> DataFrame:
@@ -129,7 +199,8 @@ class Vault:
                 vector = self.embeddings.embed(words)
             except Exception as error:
                 self.status.last_error = str(error)
-        return fusion.hybrid_search(self.chunks.read(), self.vectors.read(), words, vector, limit)
+        _, chunks, vectors = self._tables()
+        return fusion.hybrid_search(chunks, vectors, words, vector, limit)
 
     def render(self, query: str, limit: int = 5) -> str:
         """Search results as one text, after what must be known about them."""

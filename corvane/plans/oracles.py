@@ -193,6 +193,10 @@ def build() -> dict[str, str]:
             op, count(*) AS events, count(DISTINCT path) AS paths FROM changes GROUP BY ALL""",
         "latest_revision": _with(CHANGES) + "SELECT path, count(*) - 1 AS superseded, max(revision) AS revision, CASE WHEN arg_max(op, revision) = 'unlink' THEN 'deleted' ELSE 'updated' END AS status FROM changes GROUP BY path",
         "stream_latest_revision": _with(CHANGES) + "SELECT path, max(revision) AS revision, arg_max(op, revision) AS op FROM changes GROUP BY path",
+        "stream_index": _with(CHANGES.replace("AS op FROM", "AS op, '# ' || event_type || chr(10) || props AS content, event_type FROM"),
+            "last AS (SELECT replace(path, chr(92), '/') AS relative_path, path, arg_max(op, revision) AS op, arg_max(content, revision) AS content, arg_max(event_type, revision) AS kind FROM changes GROUP BY path)")
+        + f"""SELECT relative_path, kind AS heading_path, CAST(1 AS INTEGER) AS start_line, CAST(2 AS INTEGER) AS end_line, sha256(content) AS content_sha256
+            FROM last WHERE op <> 'unlink' AND NOT ({_ignored('path')}) AND list_contains({SUPPORTED}, {ext})""",
         "content_hash": "SELECT doc_id, sha256(text) AS content_hash FROM documents",
         "render_candidates": _with(FUSED) + f"""SELECT CAST(ordinal AS INTEGER) AS ordinal, printf('[%d] %s | score %.6f | %s L1-L1', ordinal, CASE match_type WHEN 'hybrid' THEN 'keyword and vector'
             WHEN 'vector' THEN 'vector only' ELSE 'keyword' END, rrf, relative_path) || coalesce({NL} || printf('similarity %.4f', vector_score), '') || {NL} || {NL} || content || {NL} || '---' AS rendered

@@ -257,6 +257,14 @@ def stream_latest_revision(spark, sf_dir):
     return streams.run_changes(spark, views.as_changes(log)).read()
 
 
+@query
+def stream_index(spark, sf_dir):
+    schema: T.StructType = table(spark, sf_dir, "events").schema
+    log = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir.rstrip('/')}/events.parque[t]")
+    found = streams.index_changes(spark, views.as_changes(log, F.concat(F.lit("# "), "event_type", F.lit("\n"), "props").alias("content"))).read()
+    return found.select("relative_path", "heading_path", "start_line", "end_line", text.content_hash(F.col("content")).alias("content_sha256"))
+
+
 @query
 def content_hash(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.content_hash(F.col("text")).alias("content_hash"))

@@ -101,9 +101,9 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_changes(table(spark, sf_dir, "events"))
 
 
-def as_changes(events: DataFrame) -> DataFrame:
+def as_changes(events: DataFrame, *more) -> DataFrame:
     u = F.col("user_id")
     name = F.concat(F.lit("u"), u.cast("string"))
     full = F.when(u % 4 == 0, F.concat(name, F.lit(".md"))).when(u % 4 == 1, F.concat(name, F.lit(".PDF"))).when(u % 4 == 2, F.concat(F.lit("build/"), name, F.lit(".md"))).otherwise(F.concat(name, F.lit("\\a.py")))
     op = F.when(F.col("event_type") == "error", "unlink").otherwise("change")
-    return events.select(full.alias("path"), F.col("event_id").cast("long").alias("revision"), op.alias("op"))
+    return events.select(full.alias("path"), F.col("event_id").cast("long").alias("revision"), op.alias("op"), *more)

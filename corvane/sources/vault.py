@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import os
+import stat
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +50,39 @@ def local_paths(root: str) -> list[str]:
     return sorted(found)
 
 
+def read_one(root: str, relative: str) -> tuple[str | None, int | None, str | None]:
+    """(content, mtime in ms, error) of one file.
+
+    A file that is gone, not a regular file or behind a link has neither content nor error; any
+    other failure is that file's error.
+    """
+    full = os.path.join(root, *relative.split("/"))
+    try:
+        found = os.lstat(full)
+        if not stat.S_ISREG(found.st_mode) or has_link(root, relative):
+            return None, None, None
+        with open(full, "rb") as file:
+            return file.read().decode("utf-8", "replace"), int(found.st_mtime * 1000), None
+    except (FileNotFoundError, NotADirectoryError):
+        return None, None, None
+    except OSError as error:
+        return None, None, str(error) or type(error).__name__
+
+
+def read_files(names: DataFrame, root: str) -> DataFrame:
+    """names(relative_path) with content, mtime, file_type and error (see read_one); ``root`` is a folder that all executors see."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):  # one file at a time is in memory
+                content, mtime, error = read_one(root, batch.column(0)[at].as_py())
+                columns = [batch.column(0).slice(at, 1), pa.array([content], pa.string()), pa.array([mtime], pa.int64()), pa.array([error], pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["relative_path", "content", "mtime", "error"])
+
+    found = names.select("relative_path").mapInArrow(run, "relative_path string, content string, mtime bigint, error string")
+    return found.withColumn("file_type", paths.file_type(F.col("relative_path")))
+
+
 def has_link(root: str, relative: str) -> bool:
     """Is any component below the root a symbolic link?"""
     at = os.path.realpath(root)
