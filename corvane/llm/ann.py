@@ -1,9 +1,11 @@
 """Approximate nearest neighbours: a forest of random-projection trees.
 
 Trees are fitted on a bounded sample; every row of the table is routed to its leaf in each
-tree. A query walks all trees at once through one priority queue, ordered by how far inside
-the best unexplored side it lies, until it has visited its share of leaves. The rows of the
-visited leaves are reranked exactly, leaf by leaf, and the best of all leaves are kept.
+tree. Leaves that hold many rows of the whole table are split again, by further bounded
+samples of their own rows, so leaves grow in number and not in size. A query walks all trees
+at once through one priority queue, ordered by the sum of squared distances to the borders
+that it would cross, until it has visited its number of leaves. The rows of the visited leaves
+are reranked exactly, leaf by leaf, and the best of all leaves are kept.
 
 Rows of equal vectors form one class that carries its smallest ids, as many as a result can
 use, so copies neither crowd a leaf nor lose their place in a result.
@@ -12,6 +14,7 @@ use, so copies neither crowd a leaf nor lose their place in a result.
 from __future__ import annotations
 
 import heapq
+import logging
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,8 +26,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Classes of a leaf that one task compares at a time; larger leaves are divided, with their queries sent to each part.
-LEAF_PART = 20_000
+LOG = logging.getLogger(__name__)
+#: Classes of a leaf beyond which it is split again; what a few rounds leave larger is divided, with its queries sent to each part.
+LEAF_PART, REFINEMENTS = 2048, 4
 
 
 @dataclass
@@ -36,6 +40,17 @@ class Tree:
     children: np.ndarray  # (nodes, 2)
     leaves: int
 
+    def graft(self, leaf: int, sub: Tree) -> None:
+        """Puts a tree in the place of a leaf; its first leaf takes the leaf's number, the others new ones."""
+        first, number = len(self.normals), lambda x: np.where(x == 0, leaf, x + self.leaves - 1)
+        below = np.where(sub.children < 0, -1 - number(-1 - sub.children), sub.children + first)
+        if first:
+            self.children = np.where(self.children == -1 - leaf, first, self.children)
+        self.normals = np.concatenate((self.normals.reshape(-1, sub.normals.shape[1]), sub.normals))
+        self.thresholds = np.concatenate((self.thresholds, sub.thresholds))
+        self.children = np.concatenate((self.children, below))
+        self.leaves += sub.leaves - 1
+
 
 def grow(points: np.ndarray, leaf_size: int, rng: np.random.Generator) -> Tree:
     """Splits by the direction between two random points, at the median."""
@@ -98,7 +113,7 @@ class Forest:
         margins = [points @ t.normals.T - t.thresholds if len(t.normals) else np.empty((len(points), 0)) for t in self.trees]
         offsets = self.offsets
         for q in range(len(points)):
-            queue = [(-np.inf, k, 0 if len(t.normals) else -1) for k, t in enumerate(self.trees)]
+            queue = [(0.0, k, 0 if len(t.normals) else -1) for k, t in enumerate(self.trees)]
             heapq.heapify(queue)
             own: list[int] = []
             while queue and len(own) < visits:
@@ -106,39 +121,59 @@ class Forest:
                 if node < 0:
                     own.append(-1 - node + offsets[k])
                     continue
-                margin = margins[k][q, node]
+                margin = float(margins[k][q, node])
                 left, right = self.trees[k].children[node].tolist()
-                heapq.heappush(queue, (max(priority, -margin), k, right))
-                heapq.heappush(queue, (max(priority, margin), k, left))
+                near, far = (right, left) if margin >= 0 else (left, right)
+                heapq.heappush(queue, (priority, k, near))
+                heapq.heappush(queue, (priority + margin * margin, k, far))
             found.append(own)
         return found
 
-    def calibrate(self, points: np.ndarray, nearest: int, target: float, queries: int, rng: np.random.Generator) -> float:
-        """Sets ``visits`` to the fewest (in steps) with which sample queries reach the target recall over the sample; that recall."""
+    def calibrate(self, points: np.ndarray, nearest: int, target: float, queries: int, rng: np.random.Generator) -> tuple[float, float]:
+        """Sets ``visits`` to the fewest (in steps) with which sample queries reach the target recall over the sample.
+
+        Returns that recall and the share of the sample that such a query is compared with.
+        """
         picked = rng.choice(len(points), min(queries, len(points)), replace=False)
         cosines = points[picked] @ points.T
         cosines[np.arange(len(picked)), picked] = -np.inf
         wanted = min(nearest, len(points) - 1)
         truth = np.argpartition(-cosines, max(0, wanted - 1), axis=1)[:, :wanted]
         leaves, total, recall = self.route(points), self.offsets[-1], 1.0
-        for share in (0.01, 0.02, 0.04, 0.07, 0.1, 0.15, 0.2, 0.3, 0.4, 0.6, 1.0):
-            self.visits = max(len(self.trees), int(np.ceil(total * share)))
-            hit = 0
+        for share in (0.01, 0.02, 0.04, 0.07, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.6, 1.0):
+            self.visits = max(len(self.trees), int(np.ceil(total * share / len(self.trees))))
+            hit, seen = 0, 0
             for row, visited in zip(truth, self.search(points[picked]), strict=True):
-                hit += np.isin(leaves[row], visited).any(axis=1).sum()
+                chosen = np.zeros(total, bool)
+                chosen[visited] = True
+                compared = chosen[leaves].any(axis=1)
+                hit += compared[row].sum()
+                seen += compared.mean() / len(picked)
             recall = hit / max(1, truth.size)
             if recall >= target:
                 break
-        return recall
+        return recall, seen
+
+    def refine(self, points: np.ndarray, sizes: dict[int, int], limit: int, rng: np.random.Generator) -> None:
+        """Splits leaves of more than ``limit`` rows (by ``sizes``) as far as the points that fall into them allow."""
+        leaves, offsets = self.route(points), self.offsets
+        for k, tree in enumerate(self.trees):
+            for leaf in [x for x in range(tree.leaves) if sizes.get(x + offsets[k], 0) > limit]:
+                own = points[leaves[:, k] == leaf + offsets[k]]
+                sub = grow(own, max(2, int(len(own) * limit / sizes[leaf + offsets[k]])), rng) if len(own) > 3 else None
+                if sub is not None and sub.leaves > 1:
+                    tree.graft(leaf, sub)
 
 
 def unit_vectors(vectors: DataFrame) -> DataFrame:
     """Distinct (vec_id, embedding) that take part: ids not null, vectors finite, not zero, and of the usual length.
 
-    A repeated id takes its smallest vector. The usual length is the most frequent one.
+    A repeated id takes its smallest vector. The usual length is the most frequent one. Single
+    precision stays as it is; all else becomes double.
     """
-    v = F.col("embedding")
-    valid = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.cast("array<double>").alias("embedding")).where(
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    v = F.col("embedding").cast(kind if kind == "array<float>" else "array<double>")
+    valid = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("embedding")).where(
         F.col("vec_id").isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     )
     usual = valid.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").limit(1)
@@ -156,6 +191,18 @@ def _normalised(x: np.ndarray) -> np.ndarray:
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
+def _leaf_sizes(classes: DataFrame, forest: Forest) -> DataFrame:
+    """leaf, count of classes(ids, embedding) over all trees."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                leaves = forest.route(_normalised(_matrix(batch.column(1)))).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(leaves)], names=["leaf"])
+
+    return classes.mapInArrow(run, "leaf long").groupBy("leaf").count()
+
+
 def _routed(batches: Iterator[pa.RecordBatch], forest: Forest, parts: dict[int, int]) -> Iterator[pa.RecordBatch]:
     """ids, embedding: a row for each tree."""
     for batch in batches:
@@ -185,7 +232,7 @@ def _reranked(rows: pd.DataFrame, queries: pd.DataFrame, nearest: int) -> pd.Dat
     """The best classes of one leaf for each of its queries; one more than asked, as a query's own class may be among them."""
     if not len(rows) or not len(queries):
         return pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "ids": pd.Series([], dtype=object), "score": pd.Series([], dtype="float64")})
-    x, q = np.stack(rows["embedding"]), np.stack(queries["embedding"])
+    x, q = np.stack(rows["embedding"]).astype(np.float64), np.stack(queries["embedding"]).astype(np.float64)
     ux, uq, k, ids = _normalised(x), _normalised(q), min(nearest + 1, len(rows)), rows["ids"].to_numpy()
     least = np.array([i[0] for i in ids])
     out = []
@@ -203,16 +250,17 @@ def _reranked(rows: pd.DataFrame, queries: pd.DataFrame, nearest: int) -> pd.Dat
 
 
 def nearest_neighbours(
-    vectors: DataFrame, is_query, nearest: int = 5, trees: int = 8, sample_rows: int = 20_000, leaf_rows: int = 128,
-    recall_target: float = 0.97, calibration_queries: int = 200, seed: int = 7,
+    vectors: DataFrame, is_query, nearest: int = 5, trees: int = 16, sample_rows: int = 20_000, leaf_rows: int = 64,
+    recall_target: float = 0.94, calibration_queries: int = 200, seed: int = 7,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the nearest rows found of each row for which ``is_query`` holds.
 
     vectors(vec_id, embedding); score is the cosine in double precision. Queries and candidates
     are the rows that take part (see unit_vectors); a query is no candidate of its own. Ties go
     to the smaller vec_id. A table without rows that take part gives none. The forest is fitted
-    on about ``sample_rows`` rows chosen by a hash of the id; leaves visited are the fewest
-    that reach ``recall_target`` on the sample.
+    on about ``sample_rows`` rows chosen by a hash of the id, and refined on as many again in
+    each round; leaves visited are the fewest that reach ``recall_target`` on the sample. That
+    recall and the share of rows compared are logged.
     """
     spark = vectors.sparkSession
     valid, _ = common.staged(unit_vectors(vectors), "vectors")
@@ -228,20 +276,26 @@ def nearest_neighbours(
     points = _normalised(np.stack(sample["embedding"]).astype(np.float64))
     distinct = np.unique(points, axis=0)
     forest = Forest([grow(distinct, leaf_rows, rng) for _ in range(trees)])
-    forest.calibrate(distinct, nearest, recall_target, calibration_queries, rng)
-
     by_vector = Window.partitionBy("embedding").orderBy("vec_id")
     few = valid.withColumn("n", F.row_number().over(by_vector)).where(F.col("n") <= nearest + 1)
     classes, _ = common.staged(few.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).select("ids", "embedding"), "classes")
-    sizes = classes.mapInArrow(
-        lambda it: (pa.RecordBatch.from_arrays([pa.array(forest.route(_normalised(_matrix(b.column(1)))).ravel())], names=["leaf"]) for b in it if b.num_rows),
-        "leaf long",
-    ).groupBy("leaf").count()
-    parts = {r["leaf"]: -(-r["count"] // LEAF_PART) for r in sizes.where(F.col("count") > LEAF_PART).collect()}  # at most the forest's leaves
-
-    routed = classes.mapInArrow(lambda it: _routed(it, forest, parts), "leaf long, part long, ids array<long>, embedding array<double>")
+    n_classes, sizes = classes.count(), {}
+    for k in range(REFINEMENTS + 1):
+        sizes = {r["leaf"]: r["count"] for r in _leaf_sizes(classes, forest).where(F.col("count") > LEAF_PART).collect()}  # at most the forest's leaves
+        if not sizes or k == REFINEMENTS:
+            break
+        draw = F.pmod(F.xxhash64(F.col("ids")[0], F.lit(seed + 1 + k)), F.lit(1_000_003)) / 1_000_003.0
+        more = classes.where(draw <= sample_rows / n_classes).orderBy(F.col("ids")[0]).toPandas()
+        if len(more):
+            forest.refine(_normalised(np.stack(more["embedding"]).astype(np.float64)), sizes, LEAF_PART, rng)
+    parts = {leaf: -(-n // LEAF_PART) for leaf, n in sizes.items()}
+    recall, share = forest.calibrate(distinct, nearest, recall_target, calibration_queries, rng)
+    LOG.info("forest: %s", {"leaves": forest.offsets[-1], "visits": forest.visits, "divided": len(parts), "recall": round(recall, 3), "compared": round(share, 3)})
+
+    kind = classes.schema["embedding"].dataType.simpleString()
+    routed = classes.mapInArrow(lambda it: _routed(it, forest, parts), f"leaf long, part long, ids array<long>, embedding {kind}")
     queries = valid.where(is_query).select(F.col("vec_id").alias("query_id"), "embedding")
-    visits = queries.mapInArrow(lambda it: _visited(it, forest, parts), "leaf long, part long, query_id long, embedding array<double>")
+    visits = queries.mapInArrow(lambda it: _visited(it, forest, parts), f"leaf long, part long, query_id long, embedding {kind}")
     found = (
         routed.groupBy("leaf", "part").cogroup(visits.groupBy("leaf", "part"))
         .applyInPandas(lambda rows, own: _reranked(rows, own, nearest), "query_id long, ids array<long>, score double")

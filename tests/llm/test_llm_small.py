@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from corvane.llm import common, packing, simhash
+from corvane.llm import ann, common, packing, simhash
 from corvane.llm.ann import nearest_neighbours
 from corvane.llm.components import connected_components
 from corvane.llm.decontaminate import contaminated, running_hashes, tile, words
@@ -86,12 +86,15 @@ def test_ann_copies_beyond_the_result(spark):
     assert [r["vec_id"] for r in got] == [0, 1, 2, 4, 5, 0, 1, 2, 3, 4, 0, 1, 2, 3, 4]
 
 
-def test_ann_recall(spark):
+@pytest.mark.parametrize(("part", "kind"), [(2048, "double"), (40, "float")])
+def test_ann_recall(spark, monkeypatch, part, kind):
+    monkeypatch.setattr(ann, "LEAF_PART", part)
     rng = np.random.default_rng(0)
     centres = rng.normal(size=(30, 16))
     x = np.concatenate([centres[rng.integers(0, 30, 1500)] + 0.3 * rng.normal(size=(1500, 16)), rng.normal(size=(500, 16))])
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    got = nearest_neighbours(df, F.col("vec_id") % 50 == 0).toPandas()
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"vec_id long, embedding array<{kind}>")
+    x = x.astype(np.float32 if kind == "float" else np.float64).astype(np.float64)
+    got = nearest_neighbours(df, F.col("vec_id") % 50 == 0, sample_rows=500).toPandas()
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     hits = 0
     for q in range(0, 2000, 50):
@@ -103,6 +106,24 @@ def test_ann_recall(spark):
     assert hits / 200 >= 0.9
 
 
+def test_leaves_split_again_and_route_as_before():
+    rng = np.random.default_rng(1)
+    points = rng.normal(size=(3000, 8))
+    forest = ann.Forest([ann.grow(points[:100], 40, rng) for _ in range(3)])
+    before = forest.route(points)
+    sizes = dict(zip(*(x.tolist() for x in np.unique(before, return_counts=True)), strict=True))
+    firsts = forest.offsets
+    forest.refine(points, sizes, 200, rng)
+    after = forest.route(points)
+    for k in range(3):
+        assert np.bincount(after[:, k] - forest.offsets[k], minlength=forest.trees[k].leaves).max() <= 200
+        parent = {}
+        for a, b in zip(after[:, k].tolist(), (before[:, k] - firsts[k]).tolist(), strict=True):
+            assert parent.setdefault(a, b) == b  # a new leaf lies in one old leaf
+    everything = forest.search(points[:5], visits=10_000)
+    assert all(sorted(own) == list(range(forest.offsets[-1])) for own in everything)
+
+
 # 3 and 4: classifiers
 
 
