@@ -140,8 +140,8 @@ class Forest:
         wanted = min(nearest, len(points) - 1)
         truth = np.argpartition(-cosines, max(0, wanted - 1), axis=1)[:, :wanted]
         leaves, total, recall = self.route(points), self.offsets[-1], 1.0
-        for share in (0.01, 0.02, 0.04, 0.07, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.6, 1.0):
-            self.visits = max(len(self.trees), int(np.ceil(total * share / len(self.trees))))
+        for share in (0.01, 0.02, 0.04, 0.07, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.5, 0.6, 0.8, 1.0, 1.5, 2, 4, 8, len(self.trees)):  # of one tree's leaves
+            self.visits = min(total, max(len(self.trees), int(np.ceil(total * share / len(self.trees)))))
             hit, seen = 0, 0
             for row, visited in zip(truth, self.search(points[picked]), strict=True):
                 chosen = np.zeros(total, bool)
@@ -250,8 +250,8 @@ def _reranked(rows: pd.DataFrame, queries: pd.DataFrame, nearest: int) -> pd.Dat
 
 
 def nearest_neighbours(
-    vectors: DataFrame, is_query, nearest: int = 5, trees: int = 16, sample_rows: int = 20_000, leaf_rows: int = 64,
-    recall_target: float = 0.94, calibration_queries: int = 200, seed: int = 7,
+    vectors: DataFrame, is_query, nearest: int = 5, trees: int = 16, sample_rows: int = 20_000, leaf_rows: int = 128,
+    recall_target: float = 0.95, calibration_queries: int = 200, seed: int = 7,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the nearest rows found of each row for which ``is_query`` holds.
 
