@@ -149,18 +149,20 @@ def _sampled_windows(batches: Iterator[pa.RecordBatch], per_text: int) -> Iterat
 
 
 def fit_language_model(
-    docs: DataFrame, learn_from, texts_per_language: int = 700, windows_per_text: int = 2, max_languages: int = 200, epochs: int = 6, least_steps: int = 300
+    docs: DataFrame, learn_from, texts_per_language: int = 700, windows_per_text: int = 2, max_languages: int = 1000, epochs: int = 6, least_steps: int = 300
 ) -> ByteCnn | None:
     """Trains on a bounded sample of docs(doc_id, text, lang) where ``learn_from`` holds and lang is not null.
 
-    At most about ``texts_per_language`` texts of each of the ``max_languages`` most frequent
-    languages take part, chosen by a hash of the id; each gives ``windows_per_text`` windows.
-    None if there is no labelled text.
+    At most about ``texts_per_language`` texts of each language take part, chosen by a hash of the
+    id; each gives ``windows_per_text`` windows. More than ``max_languages`` values of lang are an
+    error, as the network could not be held. None if there is no labelled text.
     """
     labelled = docs.where(learn_from & F.col("lang").isNotNull())
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages + 1).collect()
     if not sizes:
         return None
+    if len(sizes) > max_languages:
+        raise ValueError(f"lang has more than {max_languages} values")
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, texts_per_language / r["count"]))])
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.lit(1_000_003)) / 1_000_003.0
     sample = labelled.where(draw < F.coalesce(share[F.col("lang")], F.lit(0.0))).select("text", "lang")

@@ -97,7 +97,9 @@ class ShardStore:
     def append(self, rows: DataFrame, arrival: Column | None = None) -> dict:
         """Adds rows as new shards: one version, or one for each value of ``arrival`` in order.
 
-        All arrivals are written in one pass. A table without rows commits its schema only.
+        All arrivals are written in one pass; numbers are ordered as numbers, all else as text.
+        A table without rows commits its schema only. If a commit fails, the shards that no
+        version names are deleted; arrivals committed before it stay.
         """
         folder = "/".join((self.root, "data", uuid.uuid4().hex))
         schema = rows.schema.json()
@@ -110,10 +112,15 @@ class ShardStore:
             by_arrival: dict[str, list[Shard]] = {}
             for s in self._written(folder) if self._any(folder) else []:
                 by_arrival.setdefault(s.path.rsplit("/", 2)[1], []).append(s)
-            batches = [by_arrival[k] for k in sorted(by_arrival)] or [[]]
+            batches = [by_arrival[k] for k in sorted(by_arrival, key=_arrival_order)] or [[]]
         base = self.manifest()
-        for shards in batches:
-            base = self.commit(base, schema, base["shards"] + shards)
+        for k, shards in enumerate(batches):
+            try:
+                base = self.commit(base, schema, base["shards"] + shards)
+            except Exception:
+                for path in (s.path for own in batches[k:] for s in own):
+                    self.fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path), False)
+                raise
         return base
 
     def _any(self, folder: str) -> bool:
@@ -169,6 +176,15 @@ class ShardStore:
         return self._read(found["schema"], found["shards"])
 
 
+def _arrival_order(folder: str) -> tuple:
+    """Folder names `_arrival0=<value>`: numbers first, by value."""
+    value = folder.split("=", 1)[1]
+    try:
+        return (0, float(value), value)
+    except ValueError:
+        return (1, 0.0, value)
+
+
 def reshard(rows: DataFrame, root: str, arrivals: int = 4, key: str = "doc_id", **sizes) -> ShardStore:
     """Takes a table in as ``arrivals`` batches (by a hash of ``key``), compacts it and drops what the merges replaced.
 

@@ -48,6 +48,9 @@ def empty(awkward):
 def test_sharding_round_trip(spark, awkward, empty):
     store = reshard(awkward, common.new_path(spark, "t"), target_bytes=20_000, fan_in=2, least_bytes=1_000)
     assert sorted(map(str, store.read().collect())) == sorted(map(str, awkward.collect()))
+    many = ShardStore(spark, common.new_path(spark, "t"))
+    many.append(spark.range(12).coalesce(1), F.col("id"))
+    assert [many.read(v).count() for v in many.versions()] == list(range(1, 13)) and sorted(r[0] for r in many.read(3).collect()) == [0, 1, 2]
     none = reshard(empty, common.new_path(spark, "t"))
     assert none.read().count() == 0 and none.read().columns == awkward.columns
 
@@ -191,6 +194,8 @@ def test_language_held_out_and_awkward(spark, awkward, empty):
     assert {r["doc_id"]: r["lang_pred"] for r in odd if r["doc_id"] in (1, 2, 5)} == {1: "und", 2: "und", 5: "und"}
     assert all(0 <= r["score"] <= 1 for r in odd) and identify_language(empty, model).count() == 0
     assert fit_language_model(empty, ~held_out) is None
+    with pytest.raises(ValueError):
+        fit_language_model(docs, ~held_out, max_languages=2)
     assert {r["lang_pred"] for r in identify_language(docs, None).collect()} == {"und"}
 
 

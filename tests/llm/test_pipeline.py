@@ -1,7 +1,6 @@
 """The pipeline against a plain version of each stage's decision, and the queries on the smallest tables."""
 
 import pytest
-from pyspark.sql import functions as F
 
 import corpus_pipeline
 from corvane.llm import queries
@@ -26,9 +25,9 @@ def test_stages_by_brute_force(spark):
     kept, close, far = set(second["doc_id"]), [], set(sets)
     for a in sets:
         for b in sets:
-            if a < b and (similarity := len(sets[a] & sets[b]) / len(sets[a] | sets[b])) >= 0.5:
+            if a < b and (similarity := len(sets[a] & sets[b]) / len(sets[a] | sets[b])) >= 0.8:
                 far -= {a, b}
-                close += [(a, b)] if similarity >= 0.85 else []
+                close.append((a, b))
     assert close and not any(a in kept and b in kept for a, b in close)  # one of a group stays
     assert far <= kept and len(second) == len(kept)
     third = stages["decontaminate"](spark, spark.createDataFrame(second), SF).toPandas()
@@ -49,10 +48,18 @@ def test_stages_take_awkward_and_empty_documents(spark):
     kinds = "doc_id long, text string, lang string, source string, n_chars long, extra string"
     rows = [(1, None, "en", None, 0, "x"), (None, "a few plain words", None, "s", 17, "x"), (3, "plain words again here", "en", "s", 22, None), (3, "plain words again here", "en", "s", 22, None)]
     for docs in (spark.createDataFrame(rows, kinds), spark.createDataFrame([], kinds)):
-        for _, stage in corpus_pipeline.STAGES[1:]:
-            docs = stage(spark, docs, SF)
-        assert docs.count() >= 0
-        assert corpus_pipeline.language_id(spark, spark.createDataFrame(rows, kinds), SF).columns == corpus_pipeline.COLUMNS
+        whole = docs.count() > 0
+        for name, stage in corpus_pipeline.STAGES:
+            before, docs = docs, stage(spark, docs, SF)
+            if name == "packing":
+                assert docs.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+            else:
+                assert docs.columns == corpus_pipeline.COLUMNS and (whole or docs.count() == 0)
+            if name == "language_id" and whole:  # the text that is null goes; the model knows one language
+                assert sorted((r["doc_id"] or 0, r["text"]) for r in docs.collect()) == [(0, "a few plain words"), (3, "plain words again here"), (3, "plain words again here")]
+            if name == "near_dedup" and whole:
+                assert sorted(r["doc_id"] or 0 for r in docs.collect()) == [0, 3]
+        assert docs.select("doc_id").distinct().count() == (2 if whole else 0)
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
@@ -65,4 +72,3 @@ def test_queries_cover_their_table(spark, name):
         assert found.select("doc_id").distinct().count() == documents
     else:
         assert found.count() > 0
-    assert not found.where(F.lit(False)).collect()
