@@ -1,4 +1,4 @@
-"""Exact similarity of shingle sets: candidates by rare prefixes, then components of verified links.
+"""Exact similarity of shingle sets: blocks by rare prefixes, bit slices compared in them, hits verified exactly.
 
 A set is a sorted array of distinct 64-bit shingle hashes, known by a hash of that array.
 Two sets of Jaccard similarity s share at least s times the size of the larger one, so under
@@ -9,99 +9,90 @@ the prefix but needs no key, and most sets have no key at all.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import common
+from .simhash import LANES, block_links, print_radius, set_fingerprint, set_id
 
-#: Shingles dealt out at once by one task, and those of one part.
+#: Shingles dealt out at once by one task (or compared, of several components), and those of one part.
 BLOCK_SHINGLES, PART_SHINGLES = 1 << 18, 1 << 21
 #: Keeps products that are whole numbers from being taken for the next one.
 EPS = 1e-9
 
 
-def set_id(shingles: np.ndarray) -> int:
-    """The number a set is known by, as a signed long."""
-    return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes(), 42)).view(np.int64))
-
-
 def prefix_lengths(sizes: np.ndarray, similarity: float) -> np.ndarray:
     return np.minimum(sizes, sizes - np.ceil(similarity * sizes - EPS).astype(np.int64) + 1)
 
 
-def set_components(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+def exact_check(sets: list[np.ndarray], similarity: float) -> Callable:
+    """check(row, others): which of the other sets have at least ``similarity`` with the row's."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    ends = np.cumsum(sizes)
+    starts, (values, flat) = ends - sizes, np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(len(values), bool)
+
+    def check(row: int, others: np.ndarray) -> np.ndarray:
+        own, lengths = sizes[row], sizes[others]
+        alike = np.minimum(lengths, own) >= similarity * np.maximum(lengths, own) - EPS
+        some, lengths = others[alike], lengths[alike]
+        mark[flat[starts[row] : ends[row]]] = True
+        if 2 * lengths.sum() > len(flat):  # most of the sets: in place
+            sums = np.concatenate(([0], np.cumsum(mark[flat])))
+            shared = sums[ends[some]] - sums[starts[some]]
+        else:
+            until = np.cumsum(lengths)
+            places = np.arange(lengths.sum()) + np.repeat(starts[some] - until + lengths, lengths)
+            sums = np.concatenate(([0], np.cumsum(mark[flat[places]])))
+            shared = sums[until] - sums[until - lengths]
+        mark[flat[starts[row] : ends[row]]] = False
+        alike[alike] = shared >= similarity * (lengths + own - shared) - EPS
+        return alike
+
+    return check
+
+
+def set_components(sets: list[np.ndarray], similarity: float, groups: np.ndarray | None = None) -> np.ndarray:
     """For each distinct set, a set of its component over all links of at least ``similarity``.
 
-    A pivot is compared with all sets outside its component that share a shingle of both
-    prefixes. Sets of the largest component need no pivot: their links inside it change
-    nothing, and all sets outside of it are pivots themselves.
+    ``groups``: sorted numbers, of which only sets of the same one are compared; all are one
+    group without it. Bit slices of the sets' fingerprints are compared, and each pair within
+    the similarity's radius that is not connected yet is checked exactly.
     """
-    n, sizes = len(sets), np.array([len(s) for s in sets], np.int64)
-    label, pending = np.arange(n), np.ones(n, bool)
-    values, flat, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rank = np.empty(len(values), np.int64)
-    rank[np.argsort(counts, kind="stable")] = np.arange(len(values))
-    row, ends = np.repeat(np.arange(n), sizes), np.cumsum(sizes)
-    flat, starts, prefix = rank[flat], ends - sizes, prefix_lengths(sizes, similarity)
-    flat = flat[np.lexsort((flat, row))]  # each set from its rarest shingle on
-    inside = np.arange(len(flat)) - np.repeat(starts, sizes) < np.repeat(prefix, sizes)
-    order = np.argsort(flat[inside], kind="stable")
-    posted, at = row[inside][order], np.searchsorted(flat[inside][order], np.arange(len(values) + 1))
-    mark = np.zeros(len(values), bool)
-    while True:
-        members = np.bincount(label, minlength=n)
-        largest = int(members.argmax())
-        left = np.flatnonzero(pending & ((label != largest) | (members[largest] == 1)))
-        if not len(left):
-            return label
-        x = int(left[0])
-        pending[x] = False
-        lists = [posted[at[t] : at[t + 1]] for t in flat[starts[x] : starts[x] + prefix[x]].tolist()]
-        if not lists:
-            continue
-        found = np.unique(np.concatenate(lists))
-        near = np.minimum(sizes[found], sizes[x]) >= similarity * np.maximum(sizes[found], sizes[x]) - EPS
-        found = found[near & (label[found] != label[x])]
-        if not len(found):
-            continue
-        lengths = sizes[found]
-        offsets = np.cumsum(lengths) - lengths
-        places = np.arange(lengths.sum()) + np.repeat(starts[found] - offsets, lengths)
-        mark[flat[starts[x] : ends[x]]] = True
-        shared = np.add.reduceat(mark[flat[places]], offsets, dtype=np.int64)
-        mark[flat[starts[x] : ends[x]]] = False
-        joined = label[found[shared >= similarity * (lengths + sizes[x] - shared) - EPS]]
-        if len(joined):
-            member = np.zeros(n, bool)
-            member[joined] = True
-            label[member[label]] = label[x]
+    label, groups = np.arange(len(sets)), np.zeros(len(sets), np.int64) if groups is None else groups
+    prints = np.array([set_fingerprint(s) for s in sets]).reshape(len(sets), LANES)
+    linked, roots = block_links(groups, prints, print_radius(similarity), exact_check(sets, similarity))
+    label[linked] = roots
+    return label
 
 
 def _verified(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
     """root, id, shingles, sorted by root: links (set, a set of its component) of at least ``similarity``."""
-    root, held = None, {}
+    root, held, groups, shingles = None, {}, [], 0
 
     def flush() -> pa.RecordBatch:
         ids = np.fromiter(held, np.int64, len(held))
-        label = set_components(list(held.values()), similarity) if len(held) > 1 else np.arange(len(held))
+        label = set_components(list(held.values()), similarity, np.array(groups, np.int64))
         linked = np.flatnonzero(label != np.arange(len(held)))
         return pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(ids[label[linked]])], names=["a", "b"])
 
     for batch in batches:
-        for r, i, shingles in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            if r != root:
+        for r, i, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            if r != root and shingles > BLOCK_SHINGLES:
                 yield flush()
-                root, held = r, {}
-            if i not in held:
-                held[i] = np.frombuffer(shingles.as_py(), np.uint64)
-    yield flush()
+                held, groups, shingles = {}, [], 0
+            root = r
+            if i not in held:  # an id is in one root only
+                held[i] = np.frombuffer(own.as_py(), np.uint64)
+                groups.append(r)
+                shingles += len(held[i])
+    if held:
+        yield flush()
 
 
 def verified_links(sets: DataFrame, similarity: float) -> DataFrame:

@@ -7,12 +7,17 @@ to carry-save counters, and leaves out the blocks in which every pair exceeds th
 Two fingerprints within 2 bits agree on at least two of four 16-bit blocks, so all links
 are found among fingerprints that share such a pair of blocks (6 keys of 32 bits). Only
 distinct fingerprints take part: copies never meet as pairs.
+
+Texts of a given similarity (``similar_documents``) take the same comparison with wider
+fingerprints, in blocks that an exact prefix filter makes, and an exact check of each hit.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 from itertools import combinations
+from math import acos, comb, pi
 
 import numpy as np
 import pandas as pd
@@ -23,9 +28,10 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import connected_components
-from .jaccard import candidate_links, set_id, verified_links
 
 SEED = 42
+#: 64-bit words of a shingle set's fingerprint, and the chance that a link may have of exceeding its radius.
+LANES, LOSS = 4, 1e-15
 #: Rows of a key beyond which its rows are divided again by the bits outside the key.
 HOT_KEY_ROWS = 4096
 #: Rows of a key beyond which pivots are compared with the whole key instead of all pairs in turn.
@@ -34,6 +40,8 @@ LARGE_GROUP = 256
 BLOCK_ROWS = 1 << 15
 #: Lanes (bytes of eight pairs) in a block that is abandoned as a whole.
 LANE_BLOCK = 64
+#: Planes beyond which all are added up at once, as wide fingerprints with a large radius seldom let a block go early.
+TREE_PLANES = 64
 
 
 def shingle_hashes(text: str | None, words: int = 3) -> np.ndarray:
@@ -69,12 +77,81 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def set_fingerprint(shingles: np.ndarray) -> np.ndarray:
+    """Majority bits of a shingle set, LANES words: of the hashes themselves, then of what they are mixed to."""
+    words = [majority(shingles)]
+    for k in range(1, LANES):
+        mixed = shingles + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
+        words.append(majority(mixed ^ (mixed >> np.uint64(31))))
+    return np.array(words, np.uint64)
+
+
+@cache
+def bit_odds(similarity: float) -> float:
+    """The largest chance that a majority bit differs in two sets of at least ``similarity``.
+
+    It falls to arccos(2 s / (1 + s)) / pi as sets grow, so small ones (up to 24 shared) are tried.
+    """
+    def sums(n: int) -> np.ndarray:
+        return np.array([comb(n, k) for k in range(n + 1)]) / 2.0**n
+
+    found = acos(min(1.0, 2 * similarity / (1 + similarity))) / pi
+    for shared in range(1, 25):
+        for both in range(1, int(shared / similarity - shared + 1e-9) + 1):
+            for a in range(both // 2 + 1):  # shingles of one set only, and of the other
+                b, ones = both - a, np.arange(shared + 1)
+                over_a, over_b = (
+                    np.array([sums(own)[2 * (k + np.arange(own + 1)) > shared + own].sum() for k in ones]) for own in (a, b)
+                )
+                found = max(found, float((sums(shared) * (over_a * (1 - over_b) + over_b * (1 - over_a))).sum()))
+    return found
+
+
+@cache
+def print_radius(similarity: float) -> int:
+    """Differing bits of set fingerprints that two sets of at least ``similarity`` exceed with a chance of at most LOSS."""
+    bits, odds, beyond = 64 * LANES, bit_odds(similarity), 0.0
+    for radius in range(bits, 0, -1):  # beyond: the chance of more than radius - 1 differing bits
+        beyond += comb(bits, radius) * odds**radius * (1 - odds) ** (bits - radius)
+        if beyond > LOSS:
+            return radius
+    return 0
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
 
 
+def _exceeding(planes: np.ndarray, radius: int) -> np.ndarray:
+    """Lanes of pairs that differ in more than ``radius`` of the planes: a tree of carry-save adders over all planes at once."""
+    over, equal, sums = np.zeros(planes.shape[1], np.uint8), np.full(planes.shape[1], 255, np.uint8), []
+    while len(planes):
+        carries = []
+        while len(planes) > 2:
+            k = len(planes) // 3
+            a, b, c = planes[:k], planes[k : 2 * k], planes[2 * k : 3 * k]
+            half = a ^ b
+            carries.append(a & b | half & c)
+            planes = np.concatenate((half ^ c, planes[3 * k :]))
+        if len(planes) == 2:
+            carries.append(planes[:1] & planes[1:])
+            planes = planes[:1] ^ planes[1:]
+        sums.append(planes[0])
+        planes = np.concatenate(carries) if carries else planes[:0]
+    for k in range(max(len(sums), radius.bit_length()) - 1, -1, -1):
+        digit = sums[k] if k < len(sums) else np.zeros_like(over)
+        if radius >> k & 1:
+            equal &= digit
+        else:
+            over |= equal & digit
+            equal &= ~digit
+    return over
+
+
 class BitPlanes:
     """Bit planes of an array of fingerprints, with copies moved by 0 to 7 lanes."""
 
@@ -102,6 +179,9 @@ class BitPlanes:
     @staticmethod
     def _near(left: np.ndarray, right: np.ndarray, n: int, radius: int) -> np.ndarray:
         lanes = (n + 7) // 8
+        if len(left) > TREE_PLANES:
+            rows = np.flatnonzero(np.unpackbits(~_exceeding(left[:, :lanes] ^ right[:, :lanes], radius), bitorder="little"))
+            return rows[rows < n]
         width = (radius + 1).bit_length()
         bias = (1 << width) - (radius + 1)  # the counters overflow just beyond the radius
         live = None
@@ -130,9 +210,11 @@ class BitPlanes:
         return rows[rows < n]
 
 
-def group_roots(prints: np.ndarray, radius: int) -> np.ndarray:
+def group_roots(prints: np.ndarray, radius: int, check: Callable | None = None) -> np.ndarray:
     """The first row of each row's component, over all links of one large group.
 
+    ``check(row, others)``: which of the others, all within the radius, are links indeed.
+
     A pivot is compared with all rows at once. Rows of the largest component need no pivot:
     their links inside it change nothing, and all rows outside of it are pivots themselves.
     """
@@ -145,17 +227,22 @@ def group_roots(prints: np.ndarray, radius: int) -> np.ndarray:
             return label
         pivot = int(left[0])
         done[pivot] = True
-        joined = np.unique(label[planes.near(pivot, radius)])
+        near = planes.near(pivot, radius)
+        near = near[label[near] != label[pivot]]
+        if check is not None and len(near):
+            near = near[check(pivot, near)]
+        joined = np.unique(label[np.append(near, pivot)])
         if len(joined) > 1:
             member = np.zeros(len(prints), bool)
             member[joined] = True
             label[member[label]] = joined[0]
 
 
-def block_links(keys: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def block_links(keys: np.ndarray, prints: np.ndarray, radius: int, check: Callable | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links (row, root of its local component) among rows of equal keys; rows sorted by key.
 
-    ``prints``: one number, or a line of numbers, for each row.
+    ``prints``: one number, or a line of numbers, for each row. ``check(row, others)``: which of
+    the others, all within the radius, are links indeed; without it, all are.
     """
     order, n = np.arange(len(keys)), len(keys)
     starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if n else order
@@ -163,7 +250,8 @@ def block_links(keys: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.n
     left = np.repeat(starts + sizes, sizes) - order  # rows from here to the end of the group
     parent = np.arange(n)
     for start, size in zip(starts[sizes > LARGE_GROUP].tolist(), sizes[sizes > LARGE_GROUP].tolist(), strict=True):
-        parent[start : start + size] = group_roots(prints[start : start + size], radius) + start
+        inside = None if check is None else lambda i, others, start=start: check(i + start, others + start)
+        parent[start : start + size] = group_roots(prints[start : start + size], radius, inside) + start
     rows = order[np.repeat((sizes > 1) & (sizes <= LARGE_GROUP), sizes)]
 
     def find(x: int) -> int:
@@ -180,7 +268,7 @@ def block_links(keys: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.n
         hits = hits[reach[hits] > shift]
         for i, j in zip(rows[hits].tolist(), rows[hits + shift].tolist(), strict=True):
             a, b = find(i), find(j)
-            if a != b:
+            if a != b and (check is None or check(i, np.array([j]))[0]):
                 parent[max(a, b)] = min(a, b)
         shift += 1
         going = np.repeat(sizes, sizes)[rows] > shift
@@ -275,6 +363,11 @@ def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
     return prints.join(all_classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def set_id(shingles: np.ndarray) -> int:
+    """The number a set is known by, as a signed long."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes(), 42)).view(np.int64))
+
+
 def _set_ids(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [shingle_set(t, words) for t in batch.column(1).to_pylist()]
@@ -294,11 +387,15 @@ def _set_rows(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Reco
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, component_id of docs(doc_id, text): components of texts whose shingles are similar.
 
-    Two texts are linked if the exact Jaccard similarity of their shingle sets is at least
-    ``similarity``; candidates come from a prefix filter, which loses no link whatever the
-    table's size. Null and wordless texts are one class; repeated rows each get their row; an
-    empty table gives no rows.
+    Two texts are linked if their fingerprints (256 bits of the shingle sets) are within the
+    similarity's radius and the exact Jaccard similarity of the sets is at least ``similarity``.
+    No keys of such wide fingerprints find all links, so a prefix filter over shingles, which
+    loses none whatever the table's size, says which are compared; bit slices compare them.
+    Null and wordless texts are one class; repeated rows each get their row; an empty table
+    gives no rows.
     """
+    from .jaccard import candidate_links  # which compares by this module's planes
+
     common.prepare(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     prints, _ = common.staged(texts.mapInArrow(lambda it: _set_ids(it, words), "doc_id long, id long, size long"), "sets")
@@ -313,6 +410,8 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
 
 def _components(texts: DataFrame, classes: DataFrame, near: DataFrame, words: int, similarity: float) -> DataFrame:
     """id, component_id of classes(id, least): components of the exact links inside the components of near(a, b)."""
+    from .jaccard import verified_links
+
     spark = texts.sparkSession
     roots = connected_components(near)
     members, members_path = common.staged(roots.join(classes.withColumnRenamed("id", "node"), "node"), "members")
