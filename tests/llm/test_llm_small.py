@@ -536,6 +536,23 @@ def test_repeats_against_brute_force(spark, options, monkeypatch):
         assert sorted(map(tuple, remove_repeats(df, length, **options).collect()), key=str) == want
 
 
+def test_repeats_of_planted_passages(spark):
+    """Passages of over 50 words in two documents each: those of 400 bytes and more leave, shorter ones stay, and clean documents are left alone."""
+    rng = random.Random(9)
+
+    def text(n):
+        return " ".join("".join(rng.choice("abcdefghié") for _ in range(rng.randrange(2, 10))) for _ in range(n))
+
+    passages = [text(51 + k % 20) for k in range(60)]
+    held = [f"{text(30)} {side}{p}{side} {text(30)}" for p in passages for side in "XY"]
+    texts = held + [text(100) for _ in range(60)]
+    got = {r.doc_id: tuple(r)[1:5] for r in remove_repeats(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), 400).collect()}
+    sizes = [len(p.encode()) for p in passages for _ in "XY"]
+    assert min(sizes) < 400 <= max(sizes) and any(len(p) < 400 <= len(p.encode()) for p in passages)
+    assert [got[k][1] for k in range(len(texts))] == [n if n >= 400 else 0 for n in sizes] + [0] * 60
+    assert [got[k] for k in range(len(texts))] == slow_repeats(texts, 400)
+
+
 def test_repeats_awkward(spark, awkward, empty):
     got = sorted(map(tuple, remove_repeats(awkward).collect()), key=str)
     want = sorted([(r[0], *x) for r, x in zip(AWKWARD, slow_repeats([r[1] for r in AWKWARD], 400), strict=True)], key=str)
